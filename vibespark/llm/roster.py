@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from .exact import OP4_SQL, op4_exact_dedup
-
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+from .mix import op6_mix
+from .pack import op8_pack
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_mix": op6_mix,
+    "op8_pack": op8_pack,
+}
 
 ORACLE = {"op4_exact_dedup": OP4_SQL}
