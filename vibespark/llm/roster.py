@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .exact import OP4_SQL, op4_exact_dedup
 from .mix import op6_mix
+from .near import op9_near
 from .pack import op8_pack
+from .phrases import op3_phrases
 
 QUERIES = {
+    "op3_phrases": op3_phrases,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mix": op6_mix,
     "op8_pack": op8_pack,
+    "op9_near": op9_near,
 }
 
 ORACLE = {"op4_exact_dedup": OP4_SQL}
