@@ -7,10 +7,12 @@ from .mix import op6_mix
 from .near import op9_near
 from .pack import op8_pack
 from .phrases import op3_phrases
+from .suffix import op5_suffix
 
 QUERIES = {
     "op3_phrases": op3_phrases,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix": op5_suffix,
     "op6_mix": op6_mix,
     "op8_pack": op8_pack,
     "op9_near": op9_near,
