@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP10_SQL, op10_chat
 from .exact import OP4_SQL, op4_exact_dedup
 from .mix import op6_mix
 from .near import op9_near
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op8_pack": op8_pack,
     "op9_near": op9_near,
+    "op10_chat": op10_chat,
 }
 
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op10_chat": OP10_SQL}
