@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_ann
 from .chat import OP10_SQL, op10_chat
 from .exact import OP4_SQL, op4_exact_dedup
 from .mix import op6_mix
@@ -11,6 +12,7 @@ from .phrases import op3_phrases
 from .suffix import op5_suffix
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_phrases": op3_phrases,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix": op5_suffix,
