@@ -8,11 +8,13 @@ from .exact import OP4_SQL, op4_exact_dedup
 from .mix import op6_mix
 from .near import op9_near
 from .pack import op8_pack
+from .pii import op2_pii
 from .phrases import op3_phrases
 from .suffix import op5_suffix
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_pii": op2_pii,
     "op3_phrases": op3_phrases,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix": op5_suffix,
