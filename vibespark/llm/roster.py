@@ -10,6 +10,7 @@ from .near import op9_near
 from .pack import op8_pack
 from .pii import op2_pii
 from .phrases import op3_phrases
+from .quality import op7_quality
 from .suffix import op5_suffix
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix": op5_suffix,
     "op6_mix": op6_mix,
+    "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_near": op9_near,
     "op10_chat": op10_chat,
