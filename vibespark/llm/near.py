@@ -14,8 +14,10 @@ from .common import arrow_slices, drop_spilled, flat_bytes, mix64, spill, words
 BANDS, ROWS = 32, 4
 #: Share of equal minima under which a pair is not compared: 5.6 standard deviations under 0.8 for 128 minima.
 LEAST_EQUAL = 0.6
-#: Rounds that compare bucket members with one pivot before the remaining pairs of different components are compared.
-PIVOT_ROUNDS = 4
+#: Members from which a bucket that still holds several components is compared by cells of blocks, not by rows of pairs.
+LARGE_BUCKET = 24
+#: Members of a block, about; columns of a block's matrix at a time.
+BLOCK, COLUMNS = 256, 4096
 
 _RNG = np.random.Generator(np.random.PCG64(99))
 _A = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -141,6 +143,78 @@ def full_sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
+def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each of rows with each of cols, all without repeats."""
+    both = np.concatenate([*rows, *cols])
+    owner = np.repeat(np.arange(len(rows) + len(cols)), [len(x) for x in [*rows, *cols]])
+    order = np.argsort(both, kind="stable")
+    both, owner = both[order], owner[order]
+    fresh = np.ones(len(both), bool)
+    fresh[1:] = both[1:] != both[:-1]
+    value = np.cumsum(fresh) - 1
+    left = np.bincount(value, weights=owner < len(rows))
+    shared = (left > 0) & (np.bincount(value) > left)  # values on both sides
+    column = np.cumsum(shared) - 1
+    use = shared[value]
+    column, owner = column[value[use]], owner[use]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        m = np.zeros((len(rows) + len(cols), COLUMNS), np.float32)
+        now = (column >= lo) & (column < lo + COLUMNS)
+        m[owner[now], column[now] - lo] = 1
+        out += m[: len(rows)] @ m[len(rows) :].T
+    return out.astype(np.int64)
+
+
+def _cell_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of different components in one bucket, for buckets of any size.
+
+    placed: (bucket, id, component). Each member belongs to a block of about BLOCK members that its largest bucket
+    holds; members of a large component have blocks of their own. A cell is a pair of blocks that some bucket holds both
+    of. A cell gets the sets of its blocks once and compares all their pairs as one product of 0/1 matrices, so what
+    is moved grows with blocks, not with pairs, and only links leave it: for each member, one to each other component.
+    """
+    big = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
+    home = placed.join(big, "bucket").groupBy("id", "component").agg(F.max(F.struct("in_bucket", "bucket")).alias("h"))
+    home = home.select("id", "component", F.col("h.bucket").alias("home"))
+    sizes = home.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"))
+    home = home.join(sizes, ["home", "component"])
+    kind = F.when(F.col("n") >= BLOCK // 4, F.col("component")).otherwise(-1)
+    home = home.select("id", "component", "home", kind.alias("kind"))
+    parts = home.groupBy("home", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    home = home.join(parts, ["home", "kind"])
+    block = F.xxhash64("home", "kind", F.pmod(F.xxhash64("id"), F.col("parts")))
+    home = spill(home.select("id", "component", block.alias("block"), (F.col("kind") != -1).alias("single")))
+    in_bucket = placed.select("bucket", "id").join(home, "id").select("bucket", "block", "single", F.when(F.col("single"), F.col("component")).alias("of")).distinct()
+    other = in_bucket.select("bucket", F.col("block").alias("block2"), F.col("of").alias("of2"))
+    cells = in_bucket.join(other, "bucket").filter((F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
+    cells = cells.select("block", "block2").distinct().withColumn("cell", F.xxhash64("block", "block2"))
+    sides = cells.select("cell", F.col("block"), F.lit(0).alias("side")).unionByName(cells.filter("block <> block2").select("cell", F.col("block2").alias("block"), F.lit(1).alias("side")))
+    shipped = sides.join(home.select("id", "component", "block"), "block").join(sets, "id").select("cell", "side", "id", "component", "set")
+
+    def compare(table):
+        import pyarrow as pa
+
+        side = np.array(table.column("side"))
+        ids, comp = np.array(table.column("id")), np.array(table.column("component"))
+        values = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
+        rows = np.flatnonzero(side == 0)
+        cols = np.flatnonzero(side == 1) if (side == 1).any() else rows
+        out: set[tuple[int, int]] = set()
+        if len(rows) and len(cols):
+            same = _common([values[i] for i in rows], [values[j] for j in cols])
+            n = np.array([len(v) for v in values])
+            linked = (100 * same >= percent * (n[rows][:, None] + n[cols][None] - same)) & (comp[rows][:, None] != comp[cols][None])
+            for i in np.flatnonzero(linked.any(axis=1)):
+                js = np.flatnonzero(linked[i])
+                _, first = np.unique(comp[cols[js]], return_index=True)
+                out |= {(int(ids[rows[i]]), int(ids[cols[js[k]]])) for k in first}
+        pairs = sorted(out)
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return shipped.groupBy("cell").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id reachable, by alternating large-star and small-star.
 
@@ -180,8 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is one shingle, a text without words has none and no links. Texts of one set are one class, whose smallest id stands
     for it. Classes that share a band of MinHash minima meet in buckets. A bucket is not compared pair by pair: its
     members meet its pivot, the member that shares most buckets (in a family of copies, the original). Pairs that
-    their set sizes and signatures allow are confirmed on the full sets. Members of a bucket that are then in
-    different components meet other pivots, and in the end each other, so no link between components is lost.
+    their set sizes and signatures allow are confirmed on the full sets. Where a bucket then still holds several
+    components, members of different ones are compared too: in small buckets as pairs, in large ones block by block,
+    so no link between components is lost. That last step alone grows faster than the input, with the square of a
+    family of texts that are alike but mostly under the threshold, over the size of a block squared.
 
     Returns a row per input row: id, n_shingles, component_id (the smallest id reachable), kept (id = component_id).
     Null texts count as empty. Rows of one id are one document, reported once each. Rows with a null id link with
@@ -196,39 +272,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     entries = spill(entries.join(shared, "bucket"))
     degree = spill(entries.groupBy("id").agg(F.sum(F.col("members") - 1).alias("degree")))
-    reps = spill(reps.join(degree, "id").select("id", "n", "minima", "degree"))
+    reps = spill(reps.join(degree, "id").select("id", "n", "minima"))
     sets = spill(full_sets(rows.join(degree.select("id"), "id", "left_semi"), width, lower))
 
-    links = tested = None
-    groups = degree.select("id", F.col("id").alias("component"))
-    placed = entries.select("bucket", "id").join(degree, "id").withColumn("component", F.col("id"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn:
-            groups = components(links)
-            placed = entries.select("bucket", "id").join(degree, "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-            placed = spill(placed.join(mixed, "bucket", "left_semi"))
-            in_all, per = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-            total, rows_in = in_all.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
-            own = per.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
-            if not total:
-                break
-            if turn == PIVOT_ROUNDS or (total - own) // 2 <= 4 * rows_in:  # what is left is compared in full
-                other = placed.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
-                rest = placed.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").filter("component < other").select("a", "b").distinct()
-                links = spill(links.unionByName(_confirmed(_alike(rest, reps, percent), sets, percent)))
-                break
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("degree")
-        pivots = placed.groupBy("bucket").agg(F.max(F.struct(order.alias("order"), (-F.col("id")).alias("no"), "component")).alias("p"))
-        pivots = pivots.select("bucket", (-F.col("p.no")).alias("b"), F.col("p.component").alias("other"))
-        pairs = placed.join(pivots, "bucket").filter("component <> other").select(F.col("id").alias("a"), "b").distinct()
-        alike = _alike(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), reps, percent)
-        best = alike.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("no"))).alias("x")).select("a", (-F.col("x.no")).alias("b"))
-        best = spill(best)
-        tested = best if tested is None else tested.unionByName(best)
-        fresh = _confirmed(best, sets, percent)
-        links = spill(fresh if links is None else links.unionByName(fresh))
+    ranked = entries.join(degree, "id")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("no"))).alias("p")).select("bucket", (-F.col("p.no")).alias("b"))
+    pairs = entries.join(pivots, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    alike = _alike(pairs, reps, percent)
+    best = alike.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("no"))).alias("x")).select("a", (-F.col("x.no")).alias("b"))
+    links = spill(_confirmed(best, sets, percent))
     found = components(links)
+
+    placed = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    placed = spill(placed.join(mixed, "bucket", "left_semi"))
+    small = placed.filter(F.col("members") < LARGE_BUCKET)
+    other = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
+    rest = small.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").filter("component < other").select("a", "b").distinct()
+    more = _confirmed(_alike(rest, reps, percent), sets, percent)
+    large = placed.filter(F.col("members") >= LARGE_BUCKET).select("bucket", "id", "component")
+    more = spill(more.unionByName(_cell_links(large, sets, percent)))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     members = signed.select("id", "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"], "left")
     members = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
