@@ -12,7 +12,7 @@ from .common import spill, text_of, word_count
 #: Rounds of the index permutations.
 ROUNDS = 12
 #: Rows of one bucket of the running sums, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Output slots made by one row of the slot generator.
 CHUNK = 50_000
 
@@ -100,7 +100,8 @@ def mix_sources(
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sources = sources.withColumn("base", F.coalesce(F.sum("quota").over(upto), F.lit(0))).withColumn("slots", F.sum("quota").over(Window.partitionBy()))
     chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / CHUNK))))
-    chunks = chunks.repartition("place", "chunk")
+    # a number of its own: the planner would otherwise join these few rows into one task before they grow
+    chunks = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "chunk")
     first = F.col("chunk") * CHUNK
     slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("quota")) - 1)))
     epoch = F.floor(F.col("slot") / F.col("n"))
@@ -114,7 +115,8 @@ def mix_sources(
     parts = at.filter("size > 0").select("row", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.greatest("start", F.col("index") * length)
     times = blocks.groupBy("place", "index").agg(F.count(F.lit(1)).alias("times"))
-    taken = parts.join(times, ["place", "index"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
+    # both sides grow with the data, though their estimates, made from the sources table, look small
+    taken = parts.join(times.hint("merge"), ["place", "index"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
     documents = at.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return documents, blocks
 
@@ -134,7 +136,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = d.select("row", "id", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
     lo = F.greatest(F.col("start"), F.col("index") * length) - F.col("start")
     hi = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.col("start")
-    runs = parts.withColumns({"lo": lo, "hi": hi}).join(blocks.select("place", "index", "epoch"), ["place", "index"])
+    runs = parts.withColumns({"lo": lo, "hi": hi}).join(blocks.select("place", "index", "epoch").hint("merge"), ["place", "index"])
     runs = runs.groupBy("row", "id", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("_words"))
     # rows keep their identity through (id, rank among rows of that id), as row numbers of another scan need not agree
     picked = runs.select(F.col("id").alias("_id"), "spans", "_words", "size", "epoch", "row")
