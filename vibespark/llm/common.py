@@ -66,6 +66,7 @@ _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(_MUL), -1, 2**64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -90,6 +91,19 @@ def flat_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], (at - at[0]) if len(at) else np.zeros(1, np.int64)
 
 
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MUL**(place + 1) and MUL**-place of n places; kept by a worker up to 16 million places."""
+    if not _powers or len(_powers[0]) < n:
+        made = np.multiply.accumulate(np.full(n, _MUL, np.uint64)), np.multiply.accumulate(np.concatenate([np.ones(min(n, 1), np.uint64), np.full(max(n - 1, 0), INVERSE, np.uint64)]))
+        if n > 1 << 24:
+            return made
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
 def words(raw: np.ndarray, at: np.ndarray, lower: bool = False):
     """All words of all texts: 64-bit hash, first byte, end byte, and the index of the first word of each text (one more than texts)."""
     solid = ~_SPACES[raw]
@@ -107,20 +121,12 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False):
         first, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
     else:
         first = end = np.zeros(0, np.int64)
+    # a word's hash is its sum of table[byte] * MUL**place, taken from sums over the whole buffer, over MUL**first
     table = _BYTE[_LOWER] if lower else _BYTE
-    # sum of table[byte] * MUL**(place in the word), by prefix sums of powers over the whole buffer
-    hashes = np.zeros(len(first), np.uint64)
-    if len(first):
-        size = end - first
-        edge = np.empty(2 * len(first), np.int64)
-        edge[0::2], edge[1::2] = first, end
-        place = np.arange(len(raw), dtype=np.int64)
-        place -= np.repeat(np.concatenate([[0], first[1:]]), np.diff(np.concatenate([[0], first[1:], [len(raw)]])))
-        top = int(size.max())
-        power = np.multiply.accumulate(np.full(top + 1, _MUL, np.uint64))
-        value = table[raw] * power[np.minimum(place, top)]
-        hashes = np.add.reduceat(value, edge if end[-1] < len(raw) else edge[:-1])[0::2]
-        hashes = mix64(hashes + size.astype(np.uint64))
+    power, back = powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(table[raw] * power, out=sums[1:])
+    hashes = mix64((sums[end] - sums[first]) * back[first] + (end - first).astype(np.uint64))
     return hashes, first, end, np.searchsorted(first, at)
 
 

@@ -23,6 +23,19 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mix64(acc)
 
 
+def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word as letters, and the word of each letter. A code above 2 is three letters of 64, from an alphabet for each
+    place: the automaton looks for a letter among a node's children one by one, so nodes need few. Others are one."""
+    plain = codes <= 2
+    size = np.where(plain, 1, 3)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), "<u4")
+    out[at[plain]] = codes[plain]
+    many, c = at[~plain], codes[~plain]
+    out[many], out[many + 1], out[many + 2] = 0x20000 + (c >> 12), 0x100 + ((c >> 6) & 63), 0x200 + (c & 63)
+    return out, np.repeat(np.arange(len(codes)), size)
+
+
 def _locate(codes: np.ndarray, patterns: list[np.ndarray], span: int) -> np.ndarray:
     """Whether a window of some pattern starts at each place of codes, by an Aho-Corasick automaton over words as letters."""
     import ahocorasick
@@ -30,13 +43,17 @@ def _locate(codes: np.ndarray, patterns: list[np.ndarray], span: int) -> np.ndar
     edge = np.zeros(len(codes) + 1, np.int64)
     if patterns:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        letters = lambda a: (a + np.where(a >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
-        for p in patterns:
-            automaton.add_word(letters(p), len(p))
+        every, _ = _letters(np.concatenate(patterns))
+        text, at = every.tobytes().decode("utf-32-le"), 0
+        for n in map(len, patterns):  # a pattern's words all have three letters
+            automaton.add_word(text[at : at + 3 * n], n)
+            at += 3 * n
         automaton.make_automaton()
-        found = np.array([(end, n) for end, n in automaton.iter(letters(codes))], np.int64).reshape(-1, 2)
-        np.add.at(edge, found[:, 0] - found[:, 1] + 1, 1)
-        np.add.at(edge, found[:, 0] - span + 2, -1)
+        hay, word = _letters(codes)
+        found = np.fromiter(automaton.iter(hay.tobytes().decode("utf-32-le")), np.dtype((np.int64, 2)))
+        end, n = word[found[:, 0]], found[:, 1]
+        np.add.at(edge, end - n + 1, 1)
+        np.add.at(edge, end - span + 2, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
