@@ -46,19 +46,22 @@ def reply_paths(nodes: DataFrame, keep: int = 1, assistant: str = "assistant") -
     up = nodes.select("tree", F.col("node").alias("up"))
     reach = nodes.select("tree", "node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("hops"), "score")
     reach = reach.join(up, same(reach, up) & (reach["to"] == up["up"]), "left").select(reach["tree"], "node", F.col("up").alias("to"), "hops", "score")
-    steps, open_before = [], None
-    while True:
-        reach = spill(reach)
-        steps.append(reach)
-        still = reach.filter("to IS NOT NULL").count()
+    columns = ["tree", "node", "to", "hops", "score"]
+    steps, rooted, open_before = [], None, None
+    while True:  # only nodes that have not met their root go on, by a step to any node, whose reach is theirs too
+        reach = spill(reach.select(columns))
+        met = reach.filter("to IS NULL")
+        rooted = met if rooted is None else rooted.unionByName(met)
+        going = reach.filter("to IS NOT NULL")
+        steps.append(going)
+        still = going.count()
         if still == 0 or still == open_before:
             break
         open_before = still
-        far = reach.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("hops").alias("_h"), F.col("score").alias("_s"))
-        both = reach.join(far, reach["tree"].eqNullSafe(far["_t"]) & (reach["to"] == far["_n"]), "left")
-        reach = both.select("tree", "node", F.col("_to").alias("to"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"))
-    parents = steps[0].filter("to IS NOT NULL").select("tree", F.col("to").alias("up")).distinct()
-    rooted = reach.filter("to IS NULL")
+        far = rooted.unionByName(going).select(*[F.col(c).alias(f"_{c}") for c in columns])
+        both = going.join(far, going["tree"].eqNullSafe(far["_tree"]) & (going["to"] == far["_node"]))
+        reach = both.select("tree", "node", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("score") + F.col("_score")).alias("score"))
+    parents = steps[0].select("tree", F.col("to").alias("up")).distinct()
     leaves = rooted.join(parents, same(rooted, parents) & (rooted["node"] == parents["up"]), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order).cast("long"))
@@ -67,7 +70,7 @@ def reply_paths(nodes: DataFrame, keep: int = 1, assistant: str = "assistant") -
     chosen = chosen.select("tree", F.col("node").alias("leaf"), "score", "rank", F.col("hops").alias("turns"))
     found = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
     for k in range(len(steps) - 1, -1, -1):
-        step = steps[k].filter("to IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "to")
+        step = steps[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "to")
         further = found.join(step, found["tree"].eqNullSafe(step["_t"]) & (found["node"] == step["_n"]))
         found = spill(found.unionByName(further.select("tree", "leaf", F.col("to").alias("node"), (F.col("back") + 2**k).alias("back"))))
     out = found.join(nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text"), found["tree"].eqNullSafe(F.col("_t")) & (found["node"] == F.col("_n"))).drop("_t", "_n")
