@@ -114,7 +114,7 @@ def _frame(schema: str, rows: list[tuple]):
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send: Callable, judge: Callable, settle: Callable, schema: str) -> DataFrame:
+def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send: Callable, judge: Callable, settle: Callable, schema: str, batch_bytes: int | None = None, per_shard: int | None = None) -> DataFrame:
     """Runs both exchanges and hands the answers to each batch.
 
     find(rows) -> (state, Windows); send(state, windows, kinds) -> blob of these distinct segments for one shard;
@@ -123,8 +123,8 @@ def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send
     Batches are found anew in each exchange from the same rows, so a lost executor costs its batches only.
     """
     size = docs.select(F.sum(F.octet_length(text_of(text_col))).alias("b")).first()["b"] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
-    shards = max(1, -(-batches // BATCHES_PER_SHARD))
+    batches = max(1, -(-size // (batch_bytes or BATCH_BYTES)))
+    shards = max(1, -(-batches // (per_shard or BATCHES_PER_SHARD)))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(batches, "batch")
 

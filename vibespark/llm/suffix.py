@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, recurrence, segments
-from .common import _BYTE, _MUL, flat_bytes, mix64
+from .anchors import Windows, by_shard, recurrence, segments
+from .common import _BYTE, flat_bytes, mix64, powers
 
 #: Bytes of the k-grams that anchor a window, and of the first buckets.
 GRAM, FIRST = 48, 8
-_INVERSE = np.uint64(pow(int(_MUL), -1, 2**64))
+#: Bytes of text in a batch; batches to a shard; bytes of a suffix array, about.
+BATCH_BYTES, BATCHES_PER_SHARD, ARRAY_BYTES = 3 << 20, 8, 3 << 20
 
 
 def refined_buckets(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
@@ -23,9 +24,10 @@ def refined_buckets(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray
     and is sorted no more: whatever points at it is told apart by it.
     """
     n = len(text)
-    stop = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    room = stop - np.arange(n)
-    bucket = np.full(n, -1, np.int64)
+    if n >= 1 << 31:
+        raise ValueError("a suffix array holds at most 2**31 - 1 bytes")
+    room = np.repeat(ends, np.diff(np.concatenate([[0], ends]))).astype(np.int32) - np.arange(n, dtype=np.int32)
+    bucket = np.full(n, -1, np.int32)
     if n < FIRST:
         return bucket
     gram = np.zeros(n - FIRST + 1, np.uint64)
@@ -46,17 +48,18 @@ def refined_buckets(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray
         at = np.flatnonzero(whole & (bucket >= 0))
         at = at[size[bucket[at]] > 1]
         if len(at):
-            mine, further = bucket[at], bucket[at + step]
-            order = np.lexsort((further, mine))
-            mine, further = mine[order], further[order]
+            pair = bucket[at].astype(np.int64) << 32 | bucket[at + step]
+            order = np.argsort(pair)
+            pair = pair[order]
             new_part = np.ones(len(order), bool)
-            new_part[1:] = (mine[1:] != mine[:-1]) | (further[1:] != further[:-1])
-            new_bucket = np.ones(len(order), bool)
-            new_bucket[1:] = mine[1:] != mine[:-1]
-            place = np.arange(len(order))
-            inside = place - np.maximum.accumulate(np.where(new_bucket, place, 0))
-            rank = np.maximum.accumulate(np.where(new_part, place, 0))
-            bucket[at[order]] = mine + inside[rank]
+            new_part[1:] = pair[1:] != pair[:-1]
+            part = np.flatnonzero(new_part)
+            mine = pair[part] >> 32
+            # a part's rank in its bucket: from the first part of that bucket
+            head = np.ones(len(part), bool)
+            head[1:] = mine[1:] != mine[:-1]
+            base = np.maximum.accumulate(np.where(head, part, 0))
+            bucket[at[order]] = np.repeat((mine + part - base).astype(np.int32), np.diff(np.append(part, len(order))))
         bucket[~whole] = -1
         q += step
     return bucket
@@ -79,11 +82,10 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         n = len(raw)
         length = np.diff(at)
         left = np.repeat(at[1:], length) - np.arange(n)
-        # sums of table[byte] * MUL**place; a range's hash is its sum over MUL**(its first place)
-        power = np.multiply.accumulate(np.full(n, _MUL, np.uint64)) if n else np.zeros(0, np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * power, dtype=np.uint64)])
-        del power
-        back = np.multiply.accumulate(np.full(n, _INVERSE, np.uint64)) if n else np.zeros(0, np.uint64)
+        # a range's hash is its sum of table[byte] * MUL**place over MUL**(its first place)
+        power, back = powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power, out=sums[1:])
         grams = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
         if n >= GRAM:
             inner = mix64((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
@@ -96,37 +98,49 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lead = w.first[kinds]
         lo, count = w.start[lead], w.count[lead]
         data = raw.tobytes()
-        head = np.concatenate([[len(kinds)], count, w.copies[kinds]]).astype(np.int64)
+        head = np.concatenate([[len(kinds)], count, w.copies[kinds], w.anchor[lead].view(np.int64)]).astype(np.int64)
         return head.tobytes() + b"".join(data[a : a + c + span - 1] for a, c in zip(lo.tolist(), count.tolist(), strict=True))
 
-    def judge(blobs):
+    def repeated(texts: list[bytes], times: list[int]) -> list[np.ndarray]:
+        """For each text, whether each of its windows is repeated, by one suffix array over the distinct ones."""
         known: dict[bytes, int] = {}
-        copies: list[int] = []
-        which: list[list[int]] = []
-        for b in blobs:
-            n = int(np.frombuffer(b, np.int64, 1)[0])
-            count, times = np.frombuffer(b, np.int64, 2 * n, 8).reshape(2, n)
-            at, mine = 8 + 16 * n, []
-            for c, t in zip(count.tolist(), times.tolist(), strict=True):
-                key = bytes(b[at : at + c + span - 1])
-                at += c + span - 1
-                k = known.setdefault(key, len(copies))
-                if k == len(copies):
-                    copies.append(0)
-                copies[k] += t
-                mine.append(k)
-            which.append(mine)
+        which = [known.setdefault(t, len(known)) for t in texts]
+        copies = np.bincount(which, weights=times, minlength=len(known)).astype(np.int64)
         text = np.frombuffer(b"".join(known), np.uint8)
         size = np.fromiter(map(len, known), np.int64, len(known))
         ends = np.cumsum(size)
         bucket = refined_buckets(text, ends, span)
-        weight = np.repeat(np.array(copies, np.int64), size)
-        whole = bucket >= 0
-        total = np.bincount(bucket[whole], weights=weight[whole], minlength=len(text) + 1)
+        whole = np.flatnonzero(bucket >= 0)
+        mine = bucket[whole]
+        total = np.bincount(mine, weights=np.repeat(copies, size)[whole], minlength=len(text) + 1)
         again = np.zeros(len(text), bool)
-        again[whole] = total[bucket[whole]] > 1
+        again[whole] = total[mine] > 1
         parts = [again[lo : hi - span + 1] for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        return [np.concatenate([parts[k] for k in mine]) for mine in which]
+        return [parts[k] for k in which]
+
+    def judge(blobs):
+        texts, times, anchors, owner = [], [], [], []
+        for k, b in enumerate(blobs):
+            n = int(np.frombuffer(b, np.int64, 1)[0])
+            count, copies, anchor = np.frombuffer(b, np.int64, 3 * n, 8).reshape(3, n)
+            at = 8 + 24 * n
+            for c in count.tolist():
+                texts.append(b[at : at + c + span - 1])
+                at += c + span - 1
+            times += copies.tolist()
+            anchors.append(anchor.view(np.uint64))
+            owner += [k] * n
+        # segments of one anchor meet; the anchors of a shard are taken in parts whose array stays small
+        parts = max(1, -(-sum(map(len, texts)) // ARRAY_BYTES))
+        part = (mix64(np.concatenate(anchors) ^ np.uint64(77)) % np.uint64(parts)).astype(np.int64)
+        flags: list = [None] * len(texts)
+        for mine in by_shard(part, parts):
+            for k, f in zip(mine.tolist(), repeated([texts[k] for k in mine], [times[k] for k in mine]) if len(mine) else [], strict=True):
+                flags[k] = np.packbits(f), len(f)
+        out: list[list] = [[] for _ in blobs]
+        for k, (bits, n) in zip(owner, flags, strict=True):
+            out[k].append(np.unpackbits(bits, count=n).astype(bool))
+        return [np.concatenate(x) for x in out]
 
     def settle(state, w: Windows, kinds, bits):
         import pyarrow as pa
@@ -156,7 +170,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         kept = [data[a:b] if not r else raw[a:b][~gone[a:b]].tobytes() for a, b, r in zip(at.tolist(), at[1:].tolist(), lost.tolist(), strict=False)]
         return [pa.array(np.diff(at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64()), pa.array(kept, pa.binary())]
 
-    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary", BATCH_BYTES, BATCHES_PER_SHARD)
     return out.withColumnRenamed("id", id_col)
 
 
