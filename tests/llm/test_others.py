@@ -1,0 +1,267 @@
+"""Neighbours, personal data, quality, conversations, and the pipeline."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from vibespark.llm import ann, pii
+from vibespark.llm.chat import Reader, conversations, format_paths, read_back, reply_paths, turns_as_nodes, unescape
+from vibespark.llm.quality import QualityOptions, _kth_largest, fit_quality
+
+
+# ---- neighbours
+
+
+def brute_nearest(rows, k):
+    out = {}
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
+    for i, v in good:
+        if i % 10 == 0:
+            near = sorted((float(np.sqrt(((w - v) ** 2).sum())), j) for j, w in good if j != i)[:k]
+            out[i] = near
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=8).tolist()
+    rows = [(i, rng.normal(size=8).tolist() if i % 3 else hot) for i in range(400)]
+    rows += [(1000, None), (1010, [0.0] * 8), (1020, [float("nan")] * 8), (1030, [None] * 8), (1040, [float("inf")] + [0.0] * 7), (1050, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "'x' as list", "2 as part")
+    o = ann.IndexOptions(rows_per_list=20, split_rows=30, sample_rows=200, probe_ratio=1.5)
+    got = defaultdict(list)
+    for r in ann.nearest(d, d.filter("vec_id % 10 = 0"), options=o).collect():
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
+    want = brute_nearest([r for r in rows if r[1] is None or len(r[1]) == 8], 10)
+    assert set(got) == set(want)
+    hits = total = 0
+    for q, near in want.items():
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11)) and mine == sorted(mine, key=lambda m: m[1:])
+        hits += len({m[2] for m in mine} & {n[1] for n in near})
+        total += 10
+    assert hits / total >= 0.9
+
+
+def test_nearest_of_few_or_none(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.5, 0.5]), (7, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r["rank"]) for r in ann.nearest(d, d.filter("vec_id = 0")).collect()] == [(0, 7, 1)]
+    assert ann.nearest(d.limit(0), d).count() == 0 and ann.nearest(d, d.limit(0)).count() == 0
+
+
+def test_graph_search_finds_what_the_ratio_allows():
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(300, 6)).astype(np.float32)
+    x = rng.normal(size=(40, 6)).astype(np.float32)
+    found = ann.search_graph(x, c, ann.centroid_graph(c, 24), 32, 1.15)
+    hits = total = 0
+    for one, (order, dist) in zip(x, found, strict=True):
+        d = np.sqrt(((c - one) ** 2).sum(1))
+        want = set(np.flatnonzero(d <= 1.15 * d.min()))
+        hits += len(want & set(order[dist <= 1.15 * dist[0]]))
+        total += len(want)
+    assert hits / total > 0.97
+
+
+# ---- personal data
+
+FORMS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    def fine(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in s.split("."))
+        if kind == "card":
+            total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(digits[::-1]))
+            return 13 <= len(digits) <= 19 and total % 10 == 0
+        return kind != "phone" or 9 <= len(digits) <= 15
+
+    return [(k, m.start(), m.end()) for k, f in FORMS.items() for m in re.finditer(f, text) if fine(k, m.group())]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab.@-+ 0123456789()%_é\n") for _ in range(r.randrange(50)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    assert pii.base_spans("x 4111 1111 1111 1111 y a@b.co z +1 (555) 010-9999 1.2.3.256 1.2.3.4") == brute_spans("x 4111 1111 1111 1111 y a@b.co z +1 (555) 010-9999 1.2.3.256 1.2.3.4")
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == brute_spans("1" * 4000 + ".1.1.1")
+
+
+def test_patterns_discover_what_the_forms_miss(spark):
+    rows = [(k, f"please mail user{k}@host{k}.org today") for k in range(8)]
+    rows += [(50, "please mail someone@localhost today"), (51, "look at someone@localhost now"), (52, None), (53, ""), (54, "x" * 100_000 + " a@b.org")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as row", "3 as base", "4 as instances")
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.found]) for r in pii.find_personal_data(d).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        base = brute_spans(t or "")
+        assert got[k][0] == base
+        assert got[k][1] == (base if k != 50 else [("email", 12, 29)])
+    assert pii.find_personal_data(d.limit(0)).count() == 0
+
+
+# ---- quality
+
+
+def quality_tables(spark, n=600):
+    r = random.Random(4)
+    good = ["river", "stone", "walks", "under", "light", "green", "paper", "music", "letter", "garden"]
+    rows, labels = [], []
+    for k in range(n):
+        bad = k % 4 == 0
+        w = [r.choice(good) for _ in range(60)]
+        if bad:
+            w = [x + r.choice(["$$$", "***", "&&&"]) for x in w] if k % 8 else [x for x in w[:6] for _ in range(10)]
+        rows.append((k, " ".join(w)))
+        if k < n // 2:
+            labels.append((k, 0 if bad else 1, 0))
+    rows += [(n, None), (n + 1, "")]
+    labels += [(7, None, None), (9, 1, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "0.5 as weight", "0.1 as key")
+    return d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_keeps_clean_and_drops_junk(spark):
+    d, labels = quality_tables(spark)
+    model, scores = fit_quality(d, labels)
+    kept = {r.id for r in scores.filter("kept").collect()}
+    held = [k for k in range(300, 600)]
+    assert all((k in kept) == (k % 4 != 0) for k in held)
+    assert {600, 601} <= kept
+    again = model.keep(d)
+    assert again.columns == d.columns and {r.doc_id for r in again.collect()} == kept
+    _, twice = fit_quality(d, labels)
+    assert {r.id for r in twice.filter("kept").collect()} == kept
+
+
+def test_quality_top_k(spark):
+    d, labels = quality_tables(spark, 200)
+    _, scores = fit_quality(d, labels, k=17)
+    rows = sorted(scores.collect(), key=lambda r: -r.key)
+    assert [r.kept for r in rows] == [True] * 17 + [False] * (len(rows) - 17)
+    _, hot = fit_quality(d, labels, QualityOptions(temperature=1e6), k=17)
+    assert {r.id for r in hot.filter("kept").collect()} != {r.id for r in scores.filter("kept").collect()}
+
+
+def test_quality_without_labels_or_rows(spark):
+    d, labels = quality_tables(spark, 40)
+    _, scores = fit_quality(d, labels.limit(0))
+    assert scores.filter("kept").count() == d.count()
+    _, none = fit_quality(d.limit(0), labels)
+    assert none.count() == 0
+
+
+def test_kth_largest(spark):
+    r = random.Random(0)
+    keys = [r.choice([1.0, 2.0, r.random() * 100]) for _ in range(30_000)]
+    d = spark.createDataFrame([(k,) for k in keys], "key double")
+    order = sorted(keys, reverse=True)
+    for k in (1, 500, 25_000, 30_000):
+        assert _kth_largest(d, k, min(keys), max(keys)) == order[k - 1]
+
+
+# ---- conversations
+
+
+def test_reply_paths_equal_brute_force(spark):
+    r = random.Random(2)
+    rows = [(t, n, None if n == 0 else r.randrange(n) if t < 5 else n - 1, r.random(), r.choice(["user", "assistant"]), f"m{n}") for t in range(6) for n in range(40)]
+    rows += [(9, 1, 2, 0.0, "user", "cycle"), (9, 2, 1, 0.0, "user", "cycle"), (8, 5, 77, 1.0, "user", "orphan"), (8, 5, 77, 1.0, "user", "orphan")]
+    d = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    got = defaultdict(list)
+    for x in reply_paths(d, keep=3).collect():
+        got[x.tree, x["rank"], x.leaf].append((x.pos, x.text))
+    want = {(8, 1, 5): [(0, "orphan")]}
+    for t in range(6):
+        up, score = {n: p for a, n, p, *_ in rows if a == t}, {n: s for a, n, p, s, *_ in rows if a == t}
+        leaves = []
+        for n in set(up) - set(up.values()):
+            path, k = [], n
+            while k is not None:
+                path.append(k)
+                k = up[k]
+            leaves.append((-sum(score[k] for k in path), n, path[::-1]))
+        for rank, (_, n, path) in enumerate(sorted(leaves)[:3], 1):
+            want[t, rank, n] = [(i, f"m{k}") for i, k in enumerate(path)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_conversations_round_trip(spark):
+    hard = ["\\### Assistant: </turn> ok", "</turn>", "\\", "\\\\###", "### user:\n", None, "", "a\n</turn>\n### assistant:\nb", "é🙂 </turn", "\\</turn>"]
+    rows = [(c, t, ["user", "assistant", "odd:role\n###", None][(c + t) % 4], hard[(3 * c + t) % len(hard)]) for c in range(5) for t in range(9)] + [(5, 0, "assistant", "x" * 200_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as tree", "2 as pos")
+    parts = format_paths(reply_paths(turns_as_nodes(d)))
+    import hashlib
+
+    want = {}
+    for c in {r[0] for r in rows}:
+        turns = [(r or "", x or "") for k, _, r, x in sorted(rows, key=lambda q: q[:2]) if k == c]
+        loss = "".join(x for r, x in turns if r == "assistant")
+        want[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    whole = {r.tree: r for r in conversations(parts).collect()}
+    for r in read_back(parts).collect():
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == want[r.tree]
+        assert r.formatted_chars == len(whole[r.tree].text)
+        text = whole[r.tree].text
+        assert hashlib.sha256("".join(unescape(text[s.start : s.end]) for s in whole[r.tree].loss).encode()).hexdigest() == r.loss_sha256
+        reader = Reader()
+        for k in range(0, len(text), 7):
+            reader.feed(text[k : k + 7], [])
+        assert (reader.turns, reader.all.hexdigest()) == want[r.tree][:2]
+    assert read_back(format_paths(reply_paths(turns_as_nodes(d.limit(0))))).count() == 0
+
+
+# ---- pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in p.STAGES[:3]:
+        after = stage(spark, before, sf)
+        assert after.columns == columns
+        ids = [r.doc_id for r in after.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) <= before.count(), name
+        before = after.persist()
+    space = re.compile(r"[\x20\x09-\x0D]+")
+    kept = [space.sub(" ", r.text or "") for r in before.collect()]
+    assert len(kept) == len(set(kept))
+    mixed = p.source_mix(spark, before, sf).persist()
+    assert mixed.columns == columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
+    packed = p.best_fit_packing(spark, mixed, sf).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+
+
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op10_chat"])
+def test_sql(spark, name):
+    import duckdb
+
+    from vibespark.llm import roster
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    d = roster.QUERIES[name](spark, sf)
+    r = c.execute(roster.ORACLE[name])
+    cols = [x[0] for x in r.description]
+    assert sorted(cols) == sorted(d.columns)
+    assert sorted(map(tuple, d.select(*cols).collect())) == sorted(r.fetchall())
