@@ -25,12 +25,13 @@ def shock_vibe_metrics(sig: DataFrame, tukey_percent: float = 0.1, highpass_cuto
     the tapered ends. The resultant has the norm of the axes at each time; its bands are the sums of the axes' bands.
     """
     prepare = lambda d: filter_signal(d, "butterworth", highpass_cutoff, None, 3, tukey_percent) if highpass_cutoff else taper(d, tukey_percent)
-    base = prepare(remove_offset(sig, detrend))
+    base = prepare(remove_offset(sig, detrend)).persist()  # each metric reads it; kept until the session drops it
     k = factor(accel_units, f"{disp_units}/s^2")
     steps = [("Acceleration", base, accel_units)]
     if include_integration:
         scaled = base.withColumn("v", F.col("v") * k)
-        _, v, x = integrals(scaled, 2, zero, prepare)
+        v = integrals(scaled, 1, zero, prepare)[1].persist()
+        x = integrals(v, 1, zero, prepare)[1].persist()
         steps += [("Velocity", v, f"{disp_units}/s"), ("Displacement", x, disp_units)]
     out = None
 
@@ -46,7 +47,7 @@ def shock_vibe_metrics(sig: DataFrame, tukey_percent: float = 0.1, highpass_cuto
         else:
             add(d.groupBy(*KEYS).agg(F.max(F.abs("v")).alias("value")), f"{name} Peak", units)
             add(rms_inside(d, tukey_percent), f"{name} RMS", units)
-    psd = welch(base, bin_width, "parseval")
+    psd = welch(base, bin_width, "parseval").persist()
     top = F.max(F.struct("value", (-F.col("freq")).alias("no")))
     add(psd.groupBy(*KEYS).agg((-top["no"]).alias("value")), "Peak Frequency", "Hz")
     splits = [f for f in freq_splits if f is not None]
