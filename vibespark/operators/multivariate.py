@@ -17,8 +17,8 @@ def useful_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
     cols = numeric_columns(df, skip)
     if not cols:
         return []
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count(c).alias("n"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols]).first()
-    return [c for c in cols if r[c]["n"] == r["n"] and r[c]["a"] != r[c]["b"]]
+    r = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.struct(F.count(c).alias("n"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in cols]).first()
+    return [c for c in cols if r[c]["n"] == r["_rows"] and r[c]["a"] != r[c]["b"]]
 
 
 def non_null_columns(df: DataFrame) -> list[str]:

@@ -23,15 +23,16 @@ def sentences(payload: DataFrame, key: str = "series_id", seq: str = "seq", data
     """(key, n, sentence): the payload blocks of a recording in order, cut at line ends, from ``$G`` on.
 
     A sentence that two blocks share is put together: a block's first piece joins the last piece of the block before it.
+    Lines are cut at the line feed, as a block may end between the two characters of a line end.
     """
     text = F.col(data).cast("string")
-    d = payload.select(key, seq, F.split(text, "\r\n").alias("p"))
+    d = payload.select(key, seq, F.split(text, "\n").alias("p"))
     d = d.select(key, seq, F.posexplode("p").alias("k", "piece"), (F.size("p") - 1).alias("last"))
     # every line end closes a line; a piece belongs to the line that the next line end closes
     order = Window.partitionBy(key).orderBy(seq, "k").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("line", F.coalesce(F.sum(F.when(F.col("k") < F.col("last"), 1).otherwise(0)).over(order), F.lit(0)))
     whole = d.groupBy(key, "line").agg(F.array_sort(F.collect_list(F.struct(seq, "k", "piece"))).alias("x"), F.max(F.col("k") < F.col("last")).alias("closed"))
-    full = F.array_join(F.transform("x", lambda x: x["piece"]), "")
+    full = F.rtrim(F.array_join(F.transform("x", lambda x: x["piece"]), ""), F.lit("\r"))
     return whole.filter("closed").select(key, F.col("line").alias("n"), full.alias("s")).filter(F.col("s").contains("$G")).select(key, "n", F.expr("substring(s, locate('$G', s))").alias("sentence"))
 
 
