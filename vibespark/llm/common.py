@@ -130,7 +130,7 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False):
     return hashes, first, end, np.searchsorted(first, at)
 
 
-def arrow_slices(batches, column: str, limit: int = 4 << 20):
+def arrow_slices(batches, column: str, limit: int = 1 << 20):
     """Record batches cut so that the text of a slice stays near limit bytes (one row at least)."""
     import pyarrow.compute as pc
 
