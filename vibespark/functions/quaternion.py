@@ -135,6 +135,10 @@ def centre_of_coordinates(lat: str = "lat", lon: str = "lon") -> Column:
 
 
 def map_zoom(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column, width_to_height: float = 2.0, margin: float = 1.2) -> Column:
-    """Zoom level at which the extent fits a map, to 2 places: each level halves the degrees that the map shows."""
-    span = F.greatest((lon_max - lon_min) / width_to_height, lat_max - lat_min) * margin
-    return F.round(F.greatest(F.least(F.log2(F.lit(360.0) / F.greatest(span, F.lit(360.0 / 2**20))), F.lit(20.0)), F.lit(0.0)), 2)
+    """Zoom level, to 2 places, at which the extent fits a map: level 1 shows 360 degrees, each further one up to 20 half as
+    many, and an extent between two levels lies between them in proportion to its degrees."""
+    span = F.greatest((lon_max - lon_min) * margin, (lat_max - lat_min) * margin * width_to_height)
+    span = F.least(F.greatest(span, F.lit(360 / 2.0**19)), F.lit(360.0))
+    level = F.floor(F.log2(F.lit(360.0) / span) + 1e-12)
+    shown = F.lit(360.0) / F.pow(F.lit(2.0), level)
+    return F.round(level + 1 + (shown - span) / (shown / 2), 2)

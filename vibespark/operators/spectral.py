@@ -174,6 +174,16 @@ def rebinned(spec: DataFrame, lo: Sequence[float], hi: Sequence[float], centres:
     return grid.join(d, [*keys, "_b"], "left").select(*keys, "freq", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def histogram(values: DataFrame, edges: Sequence[float], value: str = "v", weight: str | None = None) -> DataFrame:
+    """(series_id, axis, lo, hi, n): counts, or sums of weights, of values in bins [a, b), the last one closed; others are left out."""
+    e = [float(x) for x in edges]
+    w = F.col(weight) if weight else F.lit(1.0)
+    d = rebinned(values.select(*KEYS, F.col(value).alias("freq"), w.alias("value")), e[:-1], e[1:], range(len(e) - 1), "sum")
+    at = F.col("freq").cast("int") + 1
+    lo, hi = (F.element_at(F.array(*[F.lit(x) for x in part]), at) for part in (e[:-1], e[1:]))
+    return d.select(*KEYS, lo.alias("lo"), hi.alias("hi"), F.col("value").alias("n"))
+
+
 def to_jagged(spec: DataFrame, freq_splits: Sequence[float], agg: str | Callable = "mean", extra: Sequence[str] = ()) -> DataFrame:
     f = list(freq_splits)
     if len(f) < 2 or any(b < a for a, b in zip(f, f[1:], strict=False)):

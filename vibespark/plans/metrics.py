@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from ..functions.units import factor
 from ..model import KEYS
 from ..operators.filters import filter_signal, taper
 from ..operators.shock import shock_spectrum
-from ..operators.spectral import to_jagged, welch
-from ..operators.stats import peak_with_resultant, remove_offset, resultant, rms_inside
+from ..operators.spectral import welch
+from ..operators.stats import remove_offset
 from ..operators.windows import integrals, slice_centres, sliced
 
 COLUMNS = ("series_id", "axis", "value", "calculation", "units")
@@ -25,49 +26,48 @@ def shock_vibe_metrics(sig: DataFrame, tukey_percent: float = 0.1, highpass_cuto
     the tapered ends. The resultant has the norm of the axes at each time; its bands are the sums of the axes' bands.
     """
     prepare = lambda d: filter_signal(d, "butterworth", highpass_cutoff, None, 3, tukey_percent) if highpass_cutoff else taper(d, tukey_percent)
-    base = prepare(remove_offset(sig, detrend)).persist()  # each metric reads it; kept until the session drops it
+    # what several branches read is kept until the session drops it
+    base = prepare(remove_offset(sig, detrend)).persist()
     k = factor(accel_units, f"{disp_units}/s^2")
     steps = [("Acceleration", base, accel_units)]
     if include_integration:
-        scaled = base.withColumn("v", F.col("v") * k)
-        v = integrals(scaled, 1, zero, prepare)[1].persist()
-        x = integrals(v, 1, zero, prepare)[1].persist()
+        v = integrals(base.withColumn("v", F.col("v") * k), 1, zero, prepare)[1].persist()
+        x = integrals(v, 1, zero, prepare)[1]
         steps += [("Velocity", v, f"{disp_units}/s"), ("Displacement", x, disp_units)]
-    out = None
+    every = reduce(DataFrame.unionByName, [d.select("*", F.lit(name).alias("name"), F.lit(units).alias("units")) for name, d, units in steps])
+    if include_resultant:
+        norm = every.groupBy("series_id", "i", "name", "units").agg(F.first("t").alias("t"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
+        every = every.unionByName(norm.withColumn("axis", F.lit("Resultant")))
+    n = sig.groupBy("series_id").agg((F.max("i") + 1).alias("_n"))
+    edge = F.floor(F.col("_n") * tukey_percent / 2)
+    inside = (F.col("i") >= edge) & (F.col("i") < F.col("_n") - edge)
+    m = every.join(n, "series_id").groupBy(*KEYS, "name", "units").agg(F.max(F.abs("v")).alias("Peak"), F.sqrt(F.avg(F.when(inside, F.col("v") * F.col("v")))).alias("RMS"))
+    m = m.unpivot([*KEYS, "name", "units"], ["Peak", "RMS"], "kind", "value")
+    out = m.select(*KEYS, "value", F.concat_ws(" ", "name", "kind").alias("calculation"), "units")
 
-    def add(d: DataFrame, calculation: str, units: str) -> None:
-        nonlocal out
-        d = d.select(*KEYS, "value", F.lit(calculation).alias("calculation"), F.lit(units).alias("units"))
-        out = d if out is None else out.unionByName(d)
-
-    for name, d, units in steps:
-        if include_resultant:
-            add(peak_with_resultant(d), f"{name} Peak", units)
-            add(rms_inside(resultant(d), tukey_percent), f"{name} RMS", units)
-        else:
-            add(d.groupBy(*KEYS).agg(F.max(F.abs("v")).alias("value")), f"{name} Peak", units)
-            add(rms_inside(d, tukey_percent), f"{name} RMS", units)
     psd = welch(base, bin_width, "parseval").persist()
-    top = F.max(F.struct("value", (-F.col("freq")).alias("no")))
-    add(psd.groupBy(*KEYS).agg((-top["no"]).alias("value")), "Peak Frequency", "Hz")
-    splits = [f for f in freq_splits if f is not None]
     last = psd.agg(F.max("freq")).first()[0] or 0.0
+    splits = [f for f in freq_splits if f is not None]
     if freq_splits[-1] is None and last > splits[-1]:
         splits.append(last)
-    splits = [f for f in splits if f <= last] or splits[:1]
-    if len(splits) > 1:
-        bands = to_jagged(psd, splits, "sum").withColumn("value", F.sqrt("value"))
-        if include_resultant:
-            r = bands.groupBy("series_id", "freq").agg(F.sum("value").alias("value")).withColumn("axis", F.lit("Resultant"))
-            bands = bands.unionByName(r.select(bands.columns))
-        for lo, hi in zip(splits, splits[1:], strict=False):
-            add(bands.filter(F.abs(F.col("freq") - (lo + hi) / 2) < 1e-9), f"RMS from {lo:g} to {hi:g}", accel_units)
+    splits = [f for f in splits if f <= last]
+    bands = list(zip(splits, splits[1:], strict=False))
+    top = F.max(F.struct("value", (-F.col("freq")).alias("no")))
+    made = [F.struct(F.lit("Peak Frequency").alias("calculation"), (-top["no"]).alias("value"), F.lit("Hz").alias("units"))]
+    for lo, hi in bands:
+        here = (F.col("freq") >= lo) & ((F.col("freq") <= hi) if hi == splits[-1] else (F.col("freq") < hi))
+        rms = F.sqrt(F.sum(F.when(here, F.col("value")).otherwise(0.0)))
+        made.append(F.struct(F.lit(f"RMS from {lo:g} to {hi:g}").alias("calculation"), rms.alias("value"), F.lit(accel_units).alias("units")))
+    f = psd.groupBy(*KEYS).agg(F.array(*made).alias("m")).select(*KEYS, F.explode("m").alias("m")).select(*KEYS, "m.value", "m.calculation", "m.units")
+    out = out.unionByName(f)
+    if include_resultant and bands:
+        r = f.filter(F.col("units") == accel_units).groupBy("series_id", "calculation", "units").agg(F.sum("value").alias("value"))
+        out = out.unionByName(r.withColumn("axis", F.lit("Resultant")))
     if include_pseudo_velocity:
         pv = shock_spectrum(base.withColumn("v", F.col("v") * k), None, init_freq, bins_per_octave, damp, "pvss")
-        top = F.max(F.struct("value", (-F.col("freq")).alias("no")))
         best = pv.groupBy(*KEYS).agg(top.alias("b"))
-        add(best.select(*KEYS, F.col("b.value").alias("value")), "Pseudo Velocity Peak", f"{disp_units}/s")
-        add(best.select(*KEYS, (-F.col("b.no")).alias("value")), "Pseudo Velocity Peak Frequency", "Hz")
+        both = F.array(F.struct(F.lit("Pseudo Velocity Peak").alias("calculation"), F.col("b.value").alias("value"), F.lit(f"{disp_units}/s").alias("units")), F.struct(F.lit("Pseudo Velocity Peak Frequency").alias("calculation"), (-F.col("b.no")).alias("value"), F.lit("Hz").alias("units")))
+        out = out.unionByName(best.select(*KEYS, F.explode(both).alias("m")).select(*KEYS, "m.value", "m.calculation", "m.units"))
     return out
 
 

@@ -390,6 +390,12 @@ def jagged_sum(spark, sf):
     return spectral.to_jagged(_spec(spark, sf), JAG, "sum").select("series_id", "freq", R6("value", 2).alias("value"))
 
 
+@query(f"""WITH {SIG}, b(lo, hi, last) AS (VALUES (0.0, 10.0, false), (10.0, 40.0, false), (40.0, 90.0, true)), s AS (SELECT DISTINCT series_id FROM sig)
+SELECT s.series_id, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, CAST(count(v) AS DOUBLE) AS n FROM s CROSS JOIN b LEFT JOIN sig x ON x.series_id = s.series_id AND v >= lo AND (v < hi OR last AND v = hi) GROUP BY 1, 2, 3""")
+def histogram(spark, sf):
+    return spectral.histogram(_events(spark, sf), [0, 10, 40, 90]).select("series_id", "lo", "hi", "n")
+
+
 OCT = f"""WITH {SPEC}, top AS (SELECT max(freq) AS m FROM spec), b AS (SELECT k, pow(2.0, k / 3.0) AS c FROM top, range(100) r(k) WHERE k <= floor(log2(m) * 3 + 0.5)), s AS (SELECT DISTINCT series_id FROM spec)"""
 
 
@@ -578,6 +584,13 @@ def centre_of_points(spark, sf):
     return d.agg(qn.centre_of_coordinates().alias("c")).select(R6("c.lat").alias("lat"))
 
 
+@query("""WITH e AS (SELECT least(greatest(greatest((max(c_nationkey) - min(c_nationkey)) * 1.2, (max(c_acctbal) - min(c_acctbal)) / 500 * 2.4), 360 / pow(2, 19)), 360) AS w FROM customer)
+SELECT round(j + 1 + (360 / pow(2, j) - w) / (360 / pow(2, j + 1)), 2) AS zoom FROM (SELECT w, floor(log2(360 / w) + 1e-12) AS j FROM e)""")
+def map_zoom(spark, sf):
+    d = _t(spark, sf, "customer").select((F.col("c_acctbal") / 500).alias("lat"), F.col("c_nationkey").cast("double").alias("lon"))
+    return d.agg(qn.map_zoom(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).alias("zoom"))
+
+
 # ---- joins, logs, reshaping --------------------------------------------------------------------------------------
 
 

@@ -7,25 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys of measurement types, names, and parts of unit labels, in order of priority.
+# Names of measurement types in order of priority, further keys, and further parts of unit labels. A type's
+# first key is the start of its name; its name is also a label.
 TYPES = [
-    ("acc", "Acceleration", ["acceleration"]),
-    ("spd", "Speed", ["speed", "velocity"]),
-    ("fre", "Frequency", ["frequency"]),
-    ("lin", "Linear Position", ["position", "displacement"]),
-    ("pre", "Pressure", ["pressure"]),
-    ("tem", "Temperature", ["temperature"]),
-    ("hum", "Humidity", ["humidity"]),
-    ("rot", "Rotation", ["rotation", "angular velocity"]),
-    ("qua", "Quaternion", ["quaternion"]),
-    ("gps", "GPS", ["coordinate", "location", "gps"]),
-    ("lig", "Light", ["light"]),
-    ("aud", "Audio", ["audio", "sound"]),
-    ("mag", "Magnetic", ["magnetic"]),
-    ("vol", "Voltage", ["voltage"]),
-    ("cur", "Current", ["current"]),
-    ("dir", "Direction", ["direction", "heading"]),
-    ("tim", "Time", ["time"]),
+    ("Acceleration", ["acc", "g"], []),
+    ("Orientation", ["imu", "qua", "gyr"], ["quaternion", "euler", "orientation"]),
+    ("Rotation", ["rot", "ang"], ["rotation", "gyro"]),
+    ("Audio", ["mic"], ["mic"]),
+    ("Light", ["lux"], ["lux", "uv"]),
+    ("Pressure", [], []),
+    ("Temperature", [], []),
+    ("Relative Humidity", ["hum"], []),
+    ("Location", ["pos", "gps"], ["pos"]),
+    ("Speed", [], ["velocity"]),
+    ("Time", ["epo"], ["epoch"]),
+    ("Generic/Unspecified", ["adc", "raw"], ["adc", "raw"]),
+    ("Altitude", [], []),
+    ("Voltage", [], ["volt"]),
+    ("Direction", [], ["compass", "heading"]),
+    ("Magnetic Field", ["emf"], ["emf", "magnetic"]),
+    ("Frequency", [], ["rate"]),
 ]
 ANY = "*"
 
@@ -72,7 +73,9 @@ class MeasurementType:
         return F.coalesce(hit, F.lit(False))
 
 
-REGISTRY = {k: MeasurementType(k, n, labels) for k, n, labels in TYPES}
+REGISTRY = {n.lower()[:3]: MeasurementType(n.lower()[:3], n, [*labels, n.lower()]) for n, _, labels in TYPES}
+#: Every key, and the first key of its type.
+KEYS = {k: n.lower()[:3] for n, keys, _ in TYPES for k in (n.lower()[:3], *keys)}
 
 
 def split_types(query) -> tuple[set[str], set[str]]:
@@ -80,13 +83,14 @@ def split_types(query) -> tuple[set[str], set[str]]:
     include, exclude = set(), set()
     for word in str(query).replace("+", " ").replace("|", " ").replace("-", " -").split():
         away = word.startswith("-")
-        key = word.lstrip("-").lower()[:3]
+        low = word.lstrip("-").lower()
+        key = low[:3]
         if not key:
             continue
         if key == ANY:
             keys = set(REGISTRY)
-        elif key in REGISTRY:
-            keys = {key}
+        elif key in KEYS or low in ("any", "all"):
+            keys = {KEYS[key]} if key in KEYS else set(REGISTRY)
         else:
             raise TypeError(f"unknown measurement type {word!r}")
         (exclude if away else include).update(keys)
