@@ -7,7 +7,9 @@ Documents are dealt to batches by id; what a batch asks about an anchor goes to
 1. batch -> shard: the distinct anchors of the batch; shard -> batch: one bit for each, whether another batch has it.
 2. batch -> shard: the distinct segments whose anchor recurs (here or elsewhere); shard -> batch: one bit per window.
 
-A batch sends equal segments once, so any number of copies adds one row per batch at most to a shard.
+A batch sends equal segments once, so any number of copies adds one row per batch at most to a shard. An anchor that more
+than HOT_BATCHES batches have may stand in any number of different segments. Its windows are judged one by one, dealt by
+their own hashes, so no anchor's segments meet in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .common import mix64, text_of
 #: Bytes of text in a batch, about; batches to a shard.
 BATCH_BYTES = 6 << 20
 BATCHES_PER_SHARD = 4
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Batches that have an anchor, above which its windows are dealt by their own hashes.
+HOT_BATCHES = 48
 _NULL_ID = np.iinfo(np.int64).max
 
 ASK, TOLD = "shard int, batch int, blob binary", "batch int, shard int, blob binary"
@@ -105,6 +108,13 @@ def by_shard(parts: np.ndarray, shards: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(parts[order], np.arange(1, shards)))
 
 
+def window_places(w: Windows, kinds: np.ndarray) -> np.ndarray:
+    """Places of all windows of distinct segments, one after the other."""
+    lead = w.first[kinds]
+    count = w.count[lead]
+    return np.repeat(w.start[lead], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _frame(schema: str, rows: list[tuple]):
     import pyarrow as pa
 
@@ -114,12 +124,14 @@ def _frame(schema: str, rows: list[tuple]):
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send: Callable, judge: Callable, settle: Callable, schema: str, batch_bytes: int | None = None, per_shard: int | None = None) -> DataFrame:
+def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send: Callable, judge: Callable, settle: Callable, schema: str, windows_of: Callable, first_stays: bool, batch_bytes: int | None = None, per_shard: int | None = None) -> DataFrame:
     """Runs both exchanges and hands the answers to each batch.
 
     find(rows) -> (state, Windows); send(state, windows, kinds) -> blob of these distinct segments for one shard;
     judge(blobs) -> for each blob the bits of its windows; settle(state, windows, kinds, bits) -> the batch's result,
     where kinds are distinct segments with a recurring anchor and bits one boolean array of all their windows.
+    windows_of(state, windows, kinds) -> hash, document and start of each window of these segments, for hot anchors; a
+    window is then repeated if it has an earlier start (first_stays) or any other one.
     Batches are found anew in each exchange from the same rows, so a lost executor costs its batches only.
     """
     size = docs.select(F.sum(F.octet_length(text_of(text_col))).alias("b")).first()["b"] or 0
@@ -142,29 +154,56 @@ def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send
     def answered(table):
         blobs = [np.frombuffer(b, np.uint64) for b in table.column("blob").to_pylist()]
         _, back, times = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-        flags = np.split(times[back] > 1, np.cumsum([len(b) for b in blobs])[:-1])
+        cuts = np.cumsum([len(b) for b in blobs])[:-1]
+        flags = [np.concatenate(f) for f in zip(np.split(times[back] > 1, cuts), np.split(times[back] > HOT_BATCHES, cuts), strict=True)]
         return _frame(TOLD, [(b, s, pack_bits(f)) for b, s, f in zip(table.column("batch").to_pylist(), table.column("shard").to_pylist(), flags, strict=True)])
 
-    def recurring(w: Windows, told) -> list[np.ndarray]:
-        """Distinct segments with a recurring anchor, by shard."""
-        again = w.local.copy()
+    def recurring(w: Windows, told) -> tuple[list[np.ndarray], np.ndarray]:
+        """Distinct segments with a recurring anchor: by shard, and those whose anchor is hot."""
+        again, hot = w.local.copy(), np.zeros(len(w.anchors), bool)
         bits = dict(zip(told.column("shard").to_pylist(), told.column("blob").to_pylist(), strict=True))
         for s, at in enumerate(anchors_of(w)):
             if len(at):
-                again[at] |= np.unpackbits(np.frombuffer(bits[s], np.uint8), count=len(at)).astype(bool)
+                both = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=2 * len(at)).astype(bool)
+                again[at] |= both[: len(at)]
+                hot[at] = both[len(at) :]
         own = np.searchsorted(w.anchors, w.anchor[w.first])
-        kinds = np.flatnonzero(again[own])
-        return [kinds[at] for at in by_shard(shard_of(w.anchor[w.first[kinds]], shards), shards)]
+        kinds = np.flatnonzero(again[own] & ~hot[own])
+        return [kinds[at] for at in by_shard(shard_of(w.anchor[w.first[kinds]], shards), shards)], np.flatnonzero(hot[own])
+
+    def hot_parts(state, w: Windows, kinds: np.ndarray) -> list[tuple[int, np.ndarray, bytes]]:
+        """Windows of hot segments by their own shards, which are numbered after the others: (shard, windows, blob)."""
+        if not len(kinds):
+            return []
+        hashes, doc, start = windows_of(state, w, kinds)
+        anchor = np.repeat(w.anchor[w.first[kinds]], w.count[w.first[kinds]])
+        out = []
+        for s, at in enumerate(by_shard(shard_of(hashes, shards), shards)):
+            if len(at):
+                out.append((shards + s, at, b"".join(x.tobytes() for x in (hashes[at], anchor[at], doc[at].astype(np.int64), start[at].astype(np.int64)))))
+        return out
+
+    def judge_windows(blobs: list[bytes]) -> list[np.ndarray]:
+        fields = [np.frombuffer(b, np.uint64).reshape(4, -1) for b in blobs]
+        h, anchor, doc, start = np.concatenate(fields, axis=1)
+        order = np.lexsort((start.view(np.int64), doc.view(np.int64), anchor, h))
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (h[order][1:] == h[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
+        flags = np.zeros(len(order), bool)
+        flags[order] = same[:-1] if first_stays else same[:-1] | same[1:]
+        return np.split(flags, np.cumsum([f.shape[1] for f in fields])[:-1])
 
     def sent(left, told):
         if not left.num_rows:
             return _frame(ASK, [])
         state, w = find(rows_of(left))
         batch = left.column("batch")[0].as_py()
-        return _frame(ASK, [(s, batch, send(state, w, kinds)) for s, kinds in enumerate(recurring(w, told)) if len(kinds)])
+        cold, hot = recurring(w, told)
+        rows = [(s, batch, send(state, w, kinds)) for s, kinds in enumerate(cold) if len(kinds)]
+        return _frame(ASK, rows + [(s, batch, blob) for s, _, blob in hot_parts(state, w, hot)])
 
     def judged(table):
-        flags = judge(table.column("blob").to_pylist())
+        flags = (judge if table.column("shard")[0].as_py() < shards else judge_windows)(table.column("blob").to_pylist())
         return _frame(TOLD, [(b, s, pack_bits(f)) for b, s, f in zip(table.column("batch").to_pylist(), table.column("shard").to_pylist(), flags, strict=True)])
 
     def settled(left, told):
@@ -178,11 +217,18 @@ def recurrence(docs: DataFrame, id_col: str, text_col: str, find: Callable, send
         once = told.filter(pc.equal(told.column("turn"), 1))
         twice = told.filter(pc.equal(told.column("turn"), 2))
         bits = dict(zip(twice.column("shard").to_pylist(), twice.column("blob").to_pylist(), strict=True))
+        cold, hot = recurring(w, once)
         kinds, flags = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for s, found in enumerate(recurring(w, once)):
+        for s, found in enumerate(cold):
             if len(found):
                 kinds.append(found)
                 flags.append(np.unpackbits(np.frombuffer(bits[s], np.uint8), count=int(w.count[w.first[found]].sum())).astype(bool))
+        if len(hot):
+            own = np.zeros(int(w.count[w.first[hot]].sum()), bool)
+            for s, at, _ in hot_parts(state, w, hot):
+                own[at] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=len(at)).astype(bool)
+            kinds.append(hot)
+            flags.append(own)
         out = settle(state, w, np.concatenate(kinds), np.concatenate(flags))
         ids = pa.array(np.array(rows.column("id")), mask=np.array(rows.column("null")))
         return pa.table([ids, *out], names=[x.split()[0] for x in schema.split(", ")])

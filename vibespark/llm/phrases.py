@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, recurrence, segments
+from .anchors import Windows, recurrence, segments, window_places
 from .common import flat_bytes, mix64, words
 
 #: Words of the k-grams that anchor a window; windows of one automaton pattern at most.
@@ -92,10 +92,15 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lead = w.first[kinds]
         doc = np.asarray(rows.column("id"))[row[w.start[lead]]]
         count = w.count[lead]
-        each = np.repeat(w.start[lead], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        each = window_places(w, kinds)
         head = np.array([len(kinds)], np.int64)
         return b"".join(x.tobytes() for x in (head, doc.astype(np.int64), (w.start[lead] - first[row[w.start[lead]]]).astype(np.int64), count.astype(np.int64), w.anchor[lead], window[each]))
 
+    def windows_of(state, w: Windows, kinds):
+        rows, _, first, row, window = state
+        each = window_places(w, kinds)
+        return window[each], np.asarray(rows.column("id"))[row[each]], each - first[row[each]]
+
     def judge(blobs):
         doc, start, anchor, window, sizes = [], [], [], [], []
         for b in blobs:
@@ -121,7 +126,7 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lead = w.first[kinds]
         count = w.count[lead]
         ends = np.cumsum(count)
-        each = np.repeat(w.start[lead], count) + np.arange(len(bits)) - np.repeat(ends - count, count)
+        each = window_places(w, kinds)
         earliest = np.zeros(len(h), bool)  # windows that start nowhere earlier
         earliest[each[~bits]] = True
         # confirmed passages: runs of windows with an earlier start, and segments that lie more than once in this batch
@@ -168,7 +173,7 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             removed.append(int(len(stay) - stay.sum()))
         return [pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
 
-    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_words long, n_removed long, kept binary")
+    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_words long, n_removed long, kept binary", windows_of, True)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, by_shard, recurrence, segments
+from .anchors import Windows, by_shard, recurrence, segments, window_places
 from .common import _BYTE, flat_bytes, mix64, powers
 
 #: Bytes of the k-grams that anchor a window, and of the first buckets.
@@ -70,7 +70,8 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Only strings whose anchor recurs can recur (see anchors.py); their segments go to the anchor's shard, equal ones
     of a batch once and with their number. A shard joins its distinct segments to one text and sorts its suffixes by
-    bucket-pointer refinement up to ``span`` bytes; a bucket of more than one place holds a repeated string.
+    bucket-pointer refinement up to ``span`` bytes; a bucket of more than one place holds a repeated string. Strings
+    under an anchor that very many batches have are told apart by 64-bit hashes of string and anchor instead.
 
     Returns a row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
     Texts are UTF-8 bytes; matches never cross rows. Null texts count as empty; null ids and repeated rows are rows
@@ -91,16 +92,22 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             inner = mix64((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
             grams[: n - GRAM + 1] = np.where(left[: n - GRAM + 1] >= GRAM, inner, grams[: n - GRAM + 1])
         w = segments(grams, left >= span, span - GRAM + 1, span, lambda lo, hi: mix64((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
-        return (raw, at), w
+        return (raw, at, sums, back), w
 
     def send(state, w: Windows, kinds):
-        raw, _ = state
+        raw = state[0]
         lead = w.first[kinds]
         lo, count = w.start[lead], w.count[lead]
         data = raw.tobytes()
         head = np.concatenate([[len(kinds)], count, w.copies[kinds], w.anchor[lead].view(np.int64)]).astype(np.int64)
         return head.tobytes() + b"".join(data[a : a + c + span - 1] for a, c in zip(lo.tolist(), count.tolist(), strict=True))
 
+    def windows_of(state, w: Windows, kinds):
+        _, _, sums, back = state
+        each = window_places(w, kinds)
+        none = np.zeros(len(each), np.int64)
+        return mix64((sums[each + span] - sums[each]) * back[each]), none, none
+
     def repeated(texts: list[bytes], times: list[int]) -> list[np.ndarray]:
         """For each text, whether each of its windows is repeated, by one suffix array over the distinct ones."""
         known: dict[bytes, int] = {}
@@ -145,12 +152,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def settle(state, w: Windows, kinds, bits):
         import pyarrow as pa
 
-        raw, at = state
+        raw, at = state[:2]
         count = w.count[w.first]
         place = np.full(len(w.first), -1, np.int64)  # where the bits of a distinct segment begin
         ends = np.cumsum(count[kinds])
         place[kinds] = ends - count[kinds]
         mine = np.flatnonzero(place[w.kind] >= 0)
+        bits = bits | np.repeat(w.copies[kinds] > 1, count[kinds])
         many = w.count[mine]
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         again = bits[np.repeat(place[w.kind[mine]], many) + step]
@@ -170,7 +178,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         kept = [data[a:b] if not r else raw[a:b][~gone[a:b]].tobytes() for a, b, r in zip(at.tolist(), at[1:].tolist(), lost.tolist(), strict=False)]
         return [pa.array(np.diff(at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64()), pa.array(kept, pa.binary())]
 
-    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary", BATCH_BYTES, BATCHES_PER_SHARD)
+    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary", windows_of, False, BATCH_BYTES, BATCHES_PER_SHARD)
     return out.withColumnRenamed("id", id_col)
 
 
