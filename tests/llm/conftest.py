@@ -9,6 +9,7 @@ from vibespark.llm import anchors, suffix
 def small_batches(monkeypatch):
     """Several batches and shards even for small tables."""
     monkeypatch.setattr(anchors, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(anchors, "HOT_BATCHES", 3)
     monkeypatch.setattr(suffix, "BATCH_BYTES", 20_000)
     monkeypatch.setattr(suffix, "ARRAY_BYTES", 10_000)
 

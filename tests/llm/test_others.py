@@ -169,6 +169,9 @@ def test_kth_largest(spark):
     order = sorted(keys, reverse=True)
     for k in (1, 500, 25_000, 30_000):
         assert _kth_largest(d, k, min(keys), max(keys)) == order[k - 1]
+    close = [1.0, float(np.nextafter(1.0, 2.0))]  # no bin divides them
+    d = spark.range(24_000).selectExpr(f"if(id % 2 = 0, 1.0D, {close[1]!r}D) as key")
+    assert [_kth_largest(d, k, *close) for k in (1, 12_000, 12_001, 24_000)] == [close[1], close[1], 1.0, 1.0]
 
 
 # ---- conversations

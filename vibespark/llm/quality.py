@@ -157,21 +157,27 @@ class QualityModel:
 
 
 def _kth_largest(keys: DataFrame, k: int, least: float, most: float) -> float:
-    """The k-th largest of column key: histograms of a fixed number of bins, each of the bin that holds it, then its rows."""
-    bins, lo, hi = 4096, least, most
+    """The k-th largest of column key, by histograms of a fixed number of bins, each over the bin before that holds it.
+
+    What reaches the driver is a histogram, or in the end the rows of a small bin, or the counts of the few numbers that
+    lie in a bin too narrow to divide.
+    """
+    bins, few, lo, hi = 4096, 10_000, least, most
     while True:
         here = keys.filter((F.col("key") >= lo) & (F.col("key") <= hi))
         step = (hi - lo) / bins
-        if not step or lo + step == lo or here.limit(10_001).count() <= 10_000:
-            return sorted((r["key"] for r in here.select("key").distinct().limit(10_001).collect()), reverse=True)[0] if not step or lo + step == lo else sorted((r["key"] for r in here.select("key").collect()), reverse=True)[k - 1]
-        at = F.least(F.floor((F.col("key") - lo) / step), F.lit(bins - 1))
-        counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in here.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
-        for b in sorted(counts, reverse=True):
-            n, lo_b, hi_b = counts[b]
-            if k <= n:
-                lo, hi = lo_b, hi_b
+        narrow = lo + step == lo or hi - step == hi
+        if not narrow and here.limit(few + 1).count() <= few:
+            return sorted((r["key"] for r in here.collect()), reverse=True)[k - 1]
+        at = F.col("key") if narrow else F.least(F.floor((F.col("key") - lo) / step), F.lit(bins - 1))
+        counts = here.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+        for r in sorted(counts, key=lambda r: r["bin"], reverse=True):
+            if k <= r["n"]:
+                lo, hi = r["lo"], r["hi"]
                 break
-            k -= n
+            k -= r["n"]
+        if narrow or lo == hi:
+            return lo
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, options: QualityOptions | None = None, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> tuple[QualityModel, DataFrame]:
