@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import mix64, text_of
 
 #: Bytes of text in a batch, about; batches to a shard.
-BATCH_BYTES = 6 << 20
-BATCHES_PER_SHARD = 4
+BATCH_BYTES = 4 << 20
+BATCHES_PER_SHARD = 6
 #: Batches that have an anchor, above which its windows are dealt by their own hashes.
 HOT_BATCHES = 48
 _NULL_ID = np.iinfo(np.int64).max
