@@ -52,6 +52,27 @@ def test_nearest_of_few_or_none(spark):
     assert ann.nearest(d.limit(0), d).count() == 0 and ann.nearest(d, d.limit(0)).count() == 0
 
 
+def test_nearest_of_isolated_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8)) for i in range(2000)]
+    rows.append((5000, np.full(8, 1000.0)))
+    rows += [(6000 + i, np.full(8, -1000.0) + 1e-3 * i) for i in range(3)]
+    rows += [(7000, np.full(8, 500.0) + 1e-3 * i) for i in range(12)]  # rows of one id are one candidate
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(v)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(d, d.filter("vec_id >= 5000 AND vec_id <> 7000 OR vec_id = 3")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert sorted(got) == [3, 5000, 6000, 6001, 6002]
+    for q, mine in got.items():
+        assert [m[0] for m in sorted(mine)] == list(range(1, 11)), q
+    for q in (6000, 6001, 6002):
+        near = sorted((min(float(np.sqrt(((w - vectors[q][0]) ** 2).sum())) for w in v), i) for i, v in vectors.items() if i != q)[:10]
+        assert [m[1] for m in sorted(got[q])] == [i for _, i in near]
+
+
 def test_graph_search_finds_what_the_ratio_allows():
     rng = np.random.default_rng(0)
     c = rng.normal(size=(300, 6)).astype(np.float32)

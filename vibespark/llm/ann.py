@@ -18,7 +18,7 @@ class IndexOptions:
     dimension times 4 bytes, and degree times 4 bytes of graph); sample_rows: rows, about, that centroids are fitted on;
     replicas, closure: a vector lies in its nearest list and in others, up to replicas in all, whose centroid is at most
     1 + closure times as far; probe_ratio: a query reads the lists whose centroid is at most probe_ratio times as far
-    as the nearest; split_rows: longer lists are split; degree, beam: neighbours in the graph, candidates kept at least."""
+    as the nearest, or as the list at which k others are sure; split_rows: longer lists are split; degree, beam: neighbours in the graph, candidates kept at least."""
 
     rows_per_list: int = 200
     max_lists: int = 16_384
@@ -101,6 +101,15 @@ def search_graph(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int, rat
     return out
 
 
+def enough_lists(one: np.ndarray, c: np.ndarray, held: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """The lists by centroid distance until they hold ``least`` ids, with those at most ratio times as far as the last; all if none suffice."""
+    c = c.astype(np.float64)
+    d = np.sqrt(((c - one) ** 2).sum(1))
+    order = np.argsort(d, kind="stable")
+    sure = np.flatnonzero(np.cumsum(held[order]) >= least)
+    return np.flatnonzero(d <= ratio * d[order[sure[0]]] + 1e-6) if len(sure) else order
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of rows with a vector that is not null, not zero and has finite components only."""
     v = F.col("vec")
@@ -114,7 +123,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     Centroids are fitted on a bounded sample; every vector is put into posting lists, boundary vectors into several.
     Lists longer than split_rows are split by hashed id, so they stay balanced however many vectors coincide. A query
-    reads the lists that the distance ratio selects; their rows are compared in double precision on the original
+    reads the lists that the distance ratio selects; where these may hold fewer than k other ids, it goes on to farther
+    ones until k are sure, so that only tables of fewer candidates give fewer than k rows. The rows of its lists are compared in double precision on the original
     vectors. Ties go to the smaller id; a query's own id is no candidate. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do those of a length other than the most frequent. Rows that repeat an id
     count once, with their nearest vector. No vectors or queries give no rows.
@@ -137,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     c = fit_centroids(sample, lists, o.rounds, o.balance)
     shared = spark.sparkContext.broadcast((c, centroid_graph(c, o.degree)))
 
-    def placed(limit: int | None, ratio: float):
+    def placed(limit: int | None, ratio: float, held: np.ndarray | None = None):
         def run(batches) -> Iterator:
             import pyarrow as pa
 
@@ -148,18 +158,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     flat = part.column("vec").flatten().to_numpy(zero_copy_only=False)
                     found = search_graph(flat.reshape(-1, dims), cents, graph, o.beam, ratio)
                     mine = [(lst[ok][:limit]) for lst, dist in found for ok in [dist <= ratio * dist[0] + 1e-6]]
-                    at = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+                    if held is not None:  # k others, and perhaps the query itself
+                        whole = flat.reshape(-1, dims)
+                        mine = [m if held[m].sum() > k else np.union1d(m, enough_lists(whole[i], cents, held, k + 1, ratio)) for i, m in enumerate(mine)]
+                    sizes = [len(m) for m in mine]
+                    at = np.repeat(np.arange(len(mine)), sizes)
+                    home = np.concatenate([np.arange(n) == 0 for n in sizes]) if mine else np.zeros(0, bool)
                     out = part.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine).astype(np.int32)) if mine else pa.array([], pa.int32()), out.column("id"), out.column("vec")], ["list", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine).astype(np.int32)) if mine else pa.array([], pa.int32()), out.column("id"), out.column("vec"), pa.array(home)], ["list", "id", "vec", "home"])
 
         return run
 
-    kind = "list int, id long, vec array<double>"
+    kind = "list int, id long, vec array<double>, home boolean"
     posted = spill(rows.mapInArrow(placed(o.replicas, 1 + o.closure), kind))
+    # each id counts in one list that has it, so the sum over any lists is at most the number of ids in them
+    homes = posted.filter("home").groupBy("id").agg(F.min("list").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    held = np.zeros(len(c), np.int64)
+    for r in homes.collect():  # a row per centroid
+        held[r["list"]] = r["n"]
     splits = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / o.split_rows).alias("splits"))
     splits = F.broadcast(splits)  # a row per centroid, at most max_lists
     posted = posted.join(splits, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("splits"))).select("list", "part", "id", "vec")
-    probes = asked.mapInArrow(placed(None, o.probe_ratio), kind).join(splits, "list")
+    probes = asked.mapInArrow(placed(None, o.probe_ratio, held), kind).join(splits, "list")
     probes = probes.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("part"), "id", "vec")
 
     def compare(left, right):
