@@ -65,6 +65,23 @@ def test_mixed_documents_carry_the_words_taken(docs):
     assert words == +taken
 
 
+def test_mixed_documents_keep_null_ids(spark):
+    rows = [(None if k % 3 == 0 else k, " ".join(f"w{k}_{j}" for j in range(30)), "s%d" % (k % 2)) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found, _ = mix_sources(d, block=8)
+    want = Counter()
+    for r in found.collect():
+        want[r.source] += r.taken
+    got, ids = Counter(), defaultdict(set)
+    for r in mixed_documents(d, block=8).collect():
+        got[r.source] += len(r.text.split())
+        ids[r.doc_id] |= {w.split("_")[0] for w in r.text.split()}
+    assert len(ids[None]) > 1 and {w for w in ids[None]} <= {f"w{k}" for k in range(0, 60, 3)}
+    targets = {r.source: r.target for r in found.select("source", "target").distinct().collect()}
+    for s, t in targets.items():
+        assert abs(got[s] - t) <= 3 * 8 + 1 and abs(want[s] - t) <= 3 * 8 + 1
+
+
 def test_mix_without_words(no_docs, spark):
     assert mix_sources(no_docs)[0].count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")

@@ -57,11 +57,11 @@ def _running(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """sized with place (of its source), source totals and start (words of the source before this document).
 
     A source's stream runs by hashed bucket, then id: buckets are summed apart, so that one source with any share of
-    all rows is spread over all buckets.
+    all rows is spread over all buckets. Null ids are spread by their row.
     """
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     d = sized.join(targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    d = d.withColumn("bucket", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("id")), F.lit(buckets)))
     sums = d.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("place", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_start"))
@@ -72,7 +72,7 @@ def _running(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3),
-    cap: float = 3.0, block: int = 64, shard_blocks: int = 16_384, seed: int = 1,
+    cap: float = 3.0, block: int = 64, shard_blocks: int = 16_384, seed: int = 1, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mixes sources to target weights. Returns (documents, blocks).
 
@@ -82,15 +82,16 @@ def mix_sources(
     permutation of all places, and ``shard_blocks`` places are a shard. A source's slots, in epochs of its number of
     blocks, go through the source's own permutation of block indexes, and blocks meet documents by block index.
 
-    documents: row (one per input row), id, source, size, source_size, target, taken, and start, place (of the source).
+    documents: row (one per input row; row_col, if named, holds a whole number of its own for each), id, source, size,
+    source_size, target, taken, and start, place (of the source).
     blocks: output, shard (place in the mixed output), place, epoch, index (block of the source's stream).
     A block is taken at most ceil(cap) times, so no document exceeds cap times its size (cap a whole number). Equal
     input and seed give equal results. Null or blank texts have size 0 and are taken 0 times; null sources form one
     source, the last; repeated rows are separate documents; an empty table gives empty results.
     """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     sized = spill(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"))
-        .withColumn("row", F.monotonically_increasing_id())
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), row.alias("row"))
     )
     targets = spill(source_targets(sized, weights, cap))
     length = F.lit(block)
@@ -126,28 +127,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document whose words are all taken in an epoch keeps its text unchanged; of others, the taken words stay, in
     order, joined by one space. n_chars, where docs has it as a column, follows the text. A document that no epoch takes gives no row.
+    Rows are documents of their own, whether their id is null or repeats.
     """
     block = options.get("block", 64)
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found, blocks = mix_sources(docs, **options)
+    text_col = options.get("text_col", "text")
+    # stored once with the text, as row numbers of another scan need not agree, and ids may be null or repeated
+    kept = spill(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    found, blocks = mix_sources(kept, **options, row_col="_mix_row")
     length = F.lit(block)
     d = found.filter("size > 0")
     last = F.floor((F.col("start") + F.col("size") - 1) / length)
-    parts = d.select("row", "id", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
+    parts = d.select("row", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
     lo = F.greatest(F.col("start"), F.col("index") * length) - F.col("start")
     hi = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.col("start")
     runs = parts.withColumns({"lo": lo, "hi": hi}).join(blocks.select("place", "index", "epoch").hint("merge"), ["place", "index"])
-    runs = runs.groupBy("row", "id", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("_words"))
-    # rows keep their identity through (id, rank among rows of that id), as row numbers of another scan need not agree
-    picked = runs.select(F.col("id").alias("_id"), "spans", "_words", "size", "epoch", "row")
-    same = Window.partitionBy("_id").orderBy("_size", "_text_key")
-    out = docs.withColumns({"_id": F.col(id_col), "_size": word_count(text_of(text_col)), "_text_key": F.xxhash64(text_col)})
-    ranks = Window.partitionBy("_id").orderBy("size", "row")
-    ids = picked.select("_id", "row", "size").distinct().withColumn("_rank", F.row_number().over(ranks)).select("row", "_rank")
-    picked = picked.join(ids, "row").drop("row", "size")
-    out = out.filter("_size > 0").withColumn("_rank", F.row_number().over(same)).join(picked, ["_id", "_rank"])
+    runs = runs.groupBy("row", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_words"))
+    out = kept.join(runs.select(F.col("row").alias("_mix_row"), F.col("size").alias("_size"), "_spans", "_words"), "_mix_row")
     split = F.split(F.regexp_replace(text_of(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.flatten(F.transform(F.col("spans"), lambda s: F.slice(split, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
+    cut = F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(split, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
     out = out.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
