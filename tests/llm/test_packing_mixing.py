@@ -82,6 +82,18 @@ def test_mixed_documents_keep_null_ids(spark):
         assert abs(got[s] - t) <= 3 * 8 + 1 and abs(want[s] - t) <= 3 * 8 + 1
 
 
+def test_mixed_documents_tell_rows_of_one_id_apart(spark):
+    rows = [(k // 2, " ".join(f"w{k}_{j}" for j in range(80 if k % 2 else 3)), "s%d" % (k // 2 % 2)) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {(r.id, r["size"]): r.taken for r in mix_sources(d, block=8)[0].collect()}
+    assert 0 in taken.values() and any(taken[k, 80] and not taken[k, 3] for k in range(30))
+    words = Counter()
+    for r in mixed_documents(d, block=8).collect():
+        for w in r.text.split():
+            words[w.split("_")[0]] += 1
+    assert {k: words[f"w{k}"] for k in range(60)} == {k: taken[k // 2, 80 if k % 2 else 3] for k in range(60)}
+
+
 def test_mix_without_words(no_docs, spark):
     assert mix_sources(no_docs)[0].count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
