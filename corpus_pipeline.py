@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibespark.llm.common import spill
+from vibespark.llm.common import one_space, spill, text_of
 from vibespark.llm.exact import exact_dedup
 from vibespark.llm.mix import mixed_documents
 from vibespark.llm.near import near_duplicates
@@ -24,13 +24,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
-    return _without(docs, exact_dedup(docs))
+    """Of equal texts, the row with the smallest doc_id stays; null ids are larger than any other.
+
+    Rows are told by id and content, as an id may be null or repeat with other texts.
+    """
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(one_space(text_of("text")), 256)
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8), the document with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs))
+    """Of each group of near duplicates (five words, similarity 0.8), the document with the smallest doc_id stays.
+
+    Rows are linked and dropped by a key of their own, as an id may repeat with other texts. Null ids link with nothing.
+    """
+    keyed = spill(docs.withColumn("_row", F.monotonically_increasing_id()))
+    linked = near_duplicates(keyed.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.col("_row"))), id_col="_key")
+    # of each group, near_duplicates keeps the least key alone: its other rows and that one are all its members
+    others = spill(linked.filter(~F.col("kept")).select(F.col("_key").alias("_row"), "component_id"))
+    members = others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = spill(members.join(keyed.select("_row", "doc_id"), "_row"))
+    least = members.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    dropped = members.join(least, "component_id").filter("doc_id > least").select("_row")
+    return keyed.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +59,6 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack_documents(docs)
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without the rows that are judged not kept; the few dropped ids are what is joined. Null ids are kept."""
-    dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_duplicates),

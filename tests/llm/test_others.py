@@ -274,6 +274,25 @@ def test_pipeline_stages(spark):
     assert max(fill.values()) <= 2048
 
 
+def test_pipeline_dedup_judges_rows(spark):
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def texts(stage, rows):
+        d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+        out = stage(spark, d, "")
+        assert out.columns == d.columns
+        return Counter((r.doc_id, r.text) for r in out.collect())
+
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, three), (9, "")]
+    assert texts(p.exact_duplicates, rows) == Counter([(1, one), (5, two), (None, three), (9, "")])
+    near = one + " more"
+    rows = [(7, near), (5, two), (2, one), (5, near), (2, near), (None, near), (None, three), (9, "")]
+    assert texts(p.near_duplicate_groups, rows) == Counter([(2, one), (2, near), (5, two), (None, near), (None, three), (9, "")])
+
+
 @pytest.mark.parametrize("name", ["op4_exact_dedup", "op10_chat"])
 def test_sql(spark, name):
     import duckdb
