@@ -177,6 +177,13 @@ def test_plan_keeps_every_capacity(rule, caps):
         assert n >= -(-sum(k * v for k, v in counts.items()) // caps[0])
 
 
+@pytest.mark.parametrize("limits", [(3, None), (None, 300.0)])
+def test_pack_with_limits_that_bind(spark, limits):
+    d = spark.createDataFrame([(k, 10) for k in range(40)], "id long, length long")
+    bins = Counter(r.sequence_id for r in pack(d, 100, *limits).collect())
+    assert sum(bins.values()) == 40 and max(bins.values()) == 3 and len(bins) == 14
+
+
 def test_plan_refuses_what_cannot_fit():
     with pytest.raises(ValueError):
         plan_bins({101: 1}, 100, 10, 1e9)
