@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from vibespark.llm import anchors, suffix
+from vibespark.llm import anchors, phrases, suffix
 
 
 @pytest.fixture(autouse=True)
@@ -10,6 +10,8 @@ def small_batches(monkeypatch):
     """Several batches and shards even for small tables."""
     monkeypatch.setattr(anchors, "BATCH_BYTES", 20_000)
     monkeypatch.setattr(anchors, "HOT_BATCHES", 3)
+    monkeypatch.setattr(anchors, "BATCHES_PER_ASKED", 2)
+    monkeypatch.setattr(phrases, "AUTOMATON_BYTES", 4_000)
     monkeypatch.setattr(suffix, "BATCH_BYTES", 20_000)
     monkeypatch.setattr(suffix, "ARRAY_BYTES", 10_000)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vibespark.llm.exact import exact_dedup
 from vibespark.llm.near import _common, components, near_duplicates
-from vibespark.llm.phrases import repeated_phrases
+from vibespark.llm import phrases
+from vibespark.llm.phrases import later_windows, repeated_phrases
 from vibespark.llm.suffix import refined_buckets, repeated_strings
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -140,6 +141,47 @@ def test_strings(docs, texts):
     assert got == sorted(out)
 
 
+def test_removers_with_one_id_on_many_rows(spark):
+    rows = [(1, " ".join(f"w{(k * j) % 97}" for j in range(90))) for k in (1, 2, 3, 1, 2)] + [(None, "q " * 25)] * 3
+    d = spark.createDataFrame(rows * 4, "doc_id long, text string")
+    got = repeated_phrases(d).collect()
+    assert len(got) == len(rows) * 4
+    assert sum(r.n_removed == 0 for r in got if r.doc_id == 1) == 3  # one of each text
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [24] + [25] * 11
+    d = spark.createDataFrame([(1, "ab" * 250), (1, "ab" * 250), (1, "".join(f"u{k}" for k in range(300)))], "doc_id long, text string")
+    assert sorted(r.n_removed for r in repeated_strings(d).collect()) == [0, 500, 500]
+
+
+def test_automata_tell_windows_of_one_hash_apart(monkeypatch):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(phrases, "_rolled", lambda h, width: np.arange(max(len(h) - width + 1, 0)).astype(np.uint64) % np.uint64(3))
+        for _ in range(20):
+            span = 3
+            texts = [[r.randrange(3) for _ in range(r.randrange(span, 12))] for _ in range(8)]
+            codes = np.array([w for t in texts for w in t])
+            size = np.array([len(t) for t in texts])
+            doc = np.array([r.randrange(4) for _ in texts])
+            n = size - span + 1
+            owner = np.repeat(np.arange(len(n)), n)
+            start = np.concatenate([np.arange(k) for k in n])
+            got = later_windows(codes, np.cumsum(size) - size, n, (doc[owner], start, owner), span)
+            seen, expect = set(), {}
+            for key in sorted(zip(doc[owner], start, owner, strict=True)):
+                window = tuple(texts[key[2]][key[1] : key[1] + span])
+                expect[key[2], key[1]] = window in seen
+                seen.add(window)
+            if not clash:
+                assert got.tolist() == [expect[o, s] for o, s in zip(owner, start, strict=True)]
+            else:  # windows that share no hash with an equal one can't meet; none may go wrongly
+                assert not any(g and not expect[o, s] for g, o, s in zip(got, owner, start, strict=True))
+
+
 def test_removers_without_rows_and_with_null_ids(spark, no_docs):
     assert repeated_phrases(no_docs).count() == repeated_strings(no_docs).count() == 0
     d = spark.createDataFrame([(None, "w " * 30), (2, "w " * 19 + "end")], "doc_id long, text string")

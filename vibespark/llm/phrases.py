@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, recurrence, segments, window_places
+from .anchors import by_shard, places_of, recurrence, segments
 from .common import flat_bytes, mix64, words
 
-#: Words of the k-grams that anchor a window; windows of one automaton pattern at most.
-GRAM, PATTERN_WINDOWS = 6, 45
+#: Words of the k-grams that anchor a window; bytes of text that meet one automaton, about.
+GRAM, AUTOMATON_BYTES = 6, 2 << 20
 _P = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -36,43 +36,112 @@ def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(codes)), size)
 
 
-def _locate(codes: np.ndarray, patterns: list[np.ndarray], span: int) -> np.ndarray:
-    """Whether a window of some pattern starts at each place of codes, by an Aho-Corasick automaton over words as letters."""
+def compile_passages(codes: np.ndarray, each: np.ndarray, joined: np.ndarray, span: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Recurring passages of segments: (first word, windows) of each, and which windows may recur.
+
+    codes: words as numbers; each: the places of all windows; joined: whether the next window is the next word's, in the
+    same segment. Windows that recur (by hash; the automaton looks at the words) and always stand together form a
+    passage: as in a compacted de Bruijn graph, a passage ends where windows have different neighbours at different
+    places. So each recurring window lies in one passage, at one place of it.
+    """
+    h = _rolled(codes.astype(np.uint64), span)[each] if len(each) else np.zeros(0, np.uint64)
+    _, group, size = np.unique(h, return_inverse=True, return_counts=True)
+    again = size[group] > 1 if len(each) else np.zeros(0, bool)
+    nxt, prev = np.full(len(each), -1), np.full(len(each), -1)
+    nxt[:-1] = np.where(joined[:-1], group[1:], -1)
+    prev[1:] = np.where(joined[:-1], group[:-1], -1)
+    order = np.argsort(group, kind="stable")
+    edge = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(each) else order
+
+    def only(neighbour: np.ndarray) -> np.ndarray:
+        """Of each window's content, whether all its places have one and the same neighbour."""
+        if not len(each):
+            return again
+        lo, hi = np.minimum.reduceat(neighbour[order], edge), np.maximum.reduceat(neighbour[order], edge)
+        return ((lo == hi) & (lo >= 0))[group]
+
+    tied = np.zeros(len(each), bool)  # to the window before
+    tied[1:] = only(nxt)[:-1] & only(prev)[1:] & again[:-1] & again[1:]
+    lead = np.flatnonzero(again & ~tied)
+    last = np.concatenate([~tied[1:], [True]])[: len(each)]
+    run = np.flatnonzero(again & last) - lead + 1
+    _, once = np.unique(group[lead], return_index=True)
+    return list(zip(each[lead[once]].tolist(), run[once].tolist(), strict=True)), again
+
+
+def locate(codes: np.ndarray, passages: list[tuple[int, int]], stop_at: np.ndarray, span: int) -> np.ndarray:
+    """Number of the passage window that starts at each place of codes, -1 for none: all occurrences, by an Aho-Corasick
+    automaton over words as letters. No match passes a word that stop_at marks as the first of a segment."""
     import ahocorasick
 
-    edge = np.zeros(len(codes) + 1, np.int64)
-    if patterns:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        every, _ = _letters(np.concatenate(patterns))
-        text, at = every.tobytes().decode("utf-32-le"), 0
-        for n in map(len, patterns):  # a pattern's words all have three letters
-            automaton.add_word(text[at : at + 3 * n], n)
-            at += 3 * n
-        automaton.make_automaton()
-        hay, word = _letters(codes)
-        found = np.fromiter(automaton.iter(hay.tobytes().decode("utf-32-le")), np.dtype((np.int64, 2)))
-        end, n = word[found[:, 0]], found[:, 1]
-        np.add.at(edge, end - n + 1, 1)
-        np.add.at(edge, end - span + 2, -1)
-    return np.cumsum(edge[:-1]) > 0
+    out = np.full(len(codes), -1)
+    if not passages:
+        return out
+    place = np.arange(len(codes)) + np.cumsum(stop_at)  # a letter of no passage before each segment
+    hay = np.ones(len(codes) + int(stop_at.sum()), np.int64)
+    hay[place] = codes + 3
+    letters, word = _letters(hay)
+    back = np.full(len(hay), -1)
+    back[place] = np.arange(len(codes))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, (at, n) in enumerate(passages):
+        automaton.add_word(_letters(codes[at : at + n + span - 1] + 3)[0].tobytes().decode("utf-32-le"), k)
+    automaton.make_automaton()
+    found = np.fromiter(automaton.iter(letters.tobytes().decode("utf-32-le")), np.dtype((np.int64, 2)))
+    if len(found):
+        n = np.array([n for _, n in passages])
+        base = np.cumsum(n) - n
+        end, which = back[word[found[:, 0]]], found[:, 1]
+        start = end - (n[which] + span - 1) + 1
+        each = places_of(start, n[which])
+        out[each] = places_of(base[which], n[which])
+    return out
+
+
+def later_windows(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, rank: tuple[np.ndarray, ...], span: int) -> np.ndarray:
+    """For each window of segments (first word, windows), whether an equal one has a lesser rank.
+
+    rank: (document, start, tie) of each window, the first the most significant. Passages are compiled and all segments
+    streamed through their automaton; windows that share a hash and not their words are left over by it, and are
+    compiled anew by themselves until none is.
+    """
+    each = places_of(begin, count)
+    owner = np.repeat(np.arange(len(begin)), count)
+    stop_at = np.zeros(len(codes), bool)
+    stop_at[begin] = True
+    later = np.zeros(len(each), bool)
+    left = np.arange(len(each))
+    while len(left):
+        joined = np.zeros(len(left), bool)
+        joined[:-1] = (owner[left][1:] == owner[left][:-1]) & (each[left][1:] == each[left][:-1] + 1)
+        passages, again = compile_passages(codes, each[left], joined, span)
+        which = locate(codes, passages, stop_at, span)[each[left]]
+        seen = np.flatnonzero(which >= 0)
+        order = seen[np.lexsort((*(r[left][seen] for r in reversed(rank)), which[seen]))]
+        same = which[order][1:] == which[order][:-1]
+        later[left[order[1:][same]]] = True
+        left = left[again & (which < 0)]
+    return later
 
 
 def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 20) -> DataFrame:
     """Removes each word inside a run of ``span`` words that also starts earlier (smaller id, or same row, earlier).
 
-    Passages that recur are confirmed first: the shards of window anchors (see anchors.py) tell each batch which of its
-    windows have an earlier start anywhere. From the confirmed passages a batch can hold, it compiles its Aho-Corasick
-    automaton, over words as letters, and streams all its documents through it to locate every occurrence; what is
-    located and is not the first start of its window goes. So every document passes one automaton, of bounded size.
+    Automata are sharded by passage: all places that may hold a recurring passage, of all documents, go to the shard of
+    their anchors (see anchors.py), equal ones of a batch once. A shard confirms which passages recur, compiles its
+    Aho-Corasick automata from them, over words as letters, and streams all that it was sent through them. The places
+    found, of one passage each, are ordered, and all but the first go. Hashes only rule windows out: every window that
+    goes was found equal to an earlier one word by word. A shard's automata are of bounded size each.
 
     Returns a row per input row: id, n_words, n_removed, kept (UTF-8, kept words joined by one space). Null texts count
-    as empty; null ids are larger than any other. Rows that repeat an id count as one after the other, in order of text.
-    No rows give no rows; other columns are ignored. Windows are told apart by 64-bit hashes of window and anchor.
+    as empty; null ids are larger than any other. Of equal windows in rows that share an id, the one nearer its row's
+    start stays, then the one of the row whose text has the lesser hash; of equal rows any one keeps its words. No rows
+    give no rows; other columns are ignored.
     """
 
     def find(rows):
         raw, at = flat_bytes(rows.column("text"))
-        h, _, _, first = words(raw, at)
+        h, begin, end, first = words(raw, at)
         n = np.diff(first)
         row = np.repeat(np.arange(len(n)), n)
         left = np.repeat(first[1:], n) - np.arange(len(h))  # words from here to the end of the document
@@ -83,85 +152,59 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if len(h) >= span:
             window[: len(h) - span + 1] = _rolled(h * np.uint64(3) + np.uint64(1), span)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(window), dtype=np.uint64)])
-        # a segment's content: its windows' hashes, summed with their number (order follows from their overlap)
-        w = segments(grams, left >= span, span - GRAM + 1, span, lambda lo, hi: mix64(sums[hi - span + 1] - sums[lo] + window[lo] * _P + (hi - lo).astype(np.uint64)))
-        return (rows, h, first, row, window), w
-
-    def send(state, w: Windows, kinds):
-        rows, _, first, row, window = state
-        lead = w.first[kinds]
-        doc = np.asarray(rows.column("id"))[row[w.start[lead]]]
-        count = w.count[lead]
-        each = window_places(w, kinds)
-        head = np.array([len(kinds)], np.int64)
-        return b"".join(x.tobytes() for x in (head, doc.astype(np.int64), (w.start[lead] - first[row[w.start[lead]]]).astype(np.int64), count.astype(np.int64), w.anchor[lead], window[each]))
-
-    def windows_of(state, w: Windows, kinds):
-        rows, _, first, row, window = state
-        each = window_places(w, kinds)
-        return window[each], np.asarray(rows.column("id"))[row[each]], each - first[row[each]]
+        whole = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h), dtype=np.uint64)])
+        tie = whole[first[1:]] - whole[first[:-1]]
+        data = raw.tobytes()
+
+        def content(start, count):  # the hashes of its windows summed, with their number
+            return mix64(sums[start + count] - sums[start] + window[start] * _P + count.astype(np.uint64))
+
+        def text(start, count):
+            return [data[a:b] for a, b in zip(begin[start].tolist(), end[start + count + span - 2].tolist(), strict=True)]
+
+        def same(a, b, count):
+            return [x == y or x.split() == y.split() for x, y in zip(text(a, count), text(b, count), strict=True)]
+
+        return (rows, first, row, tie, text), segments(grams, left >= span, span - GRAM + 1, content, same, lambda places: window[places])
+
+    def send(state, start, count, anchor):
+        rows, first, row, tie, text = state
+        mine = row[start]
+        doc, parts = np.asarray(rows.column("id"))[mine].astype(np.int64), text(start, count)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        head = np.array([len(start)], np.int64)
+        return b"".join([x.tobytes() for x in (head, doc, start - first[mine], tie[mine].view(np.int64), count, anchor.view(np.int64), size)] + parts)
 
     def judge(blobs):
-        doc, start, anchor, window, sizes = [], [], [], [], []
+        fields, texts = [], []
         for b in blobs:
             n = int(np.frombuffer(b, np.int64, 1)[0])
-            d, s, c = np.frombuffer(b, np.int64, 3 * n, 8).reshape(3, n)
-            total = int(c.sum())
-            sizes.append(total)
-            doc.append(np.repeat(d, c))
-            start.append(np.repeat(s, c) + np.arange(total) - np.repeat(np.cumsum(c) - c, c))
-            anchor.append(np.repeat(np.frombuffer(b, np.uint64, n, 8 + 24 * n), c))
-            window.append(np.frombuffer(b, np.uint64, total, 8 + 32 * n))
-        doc, start, anchor, window = map(np.concatenate, (doc, start, anchor, window))
-        order = np.lexsort((start, doc, window, anchor))
-        later = np.zeros(len(order), bool)
-        same = (window[order][1:] == window[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-        later[order[1:][same]] = True
-        return np.split(later, np.cumsum(sizes)[:-1])
-
-    def settle(state, w: Windows, kinds, bits):
+            fields.append(np.frombuffer(b, np.int64, 6 * n, 8).reshape(6, n))
+            at = 8 + 48 * n
+            for size in fields[-1][5].tolist():
+                texts.append(b[at : at + size])
+                at += size
+        doc, start, tie, count, anchor, size = np.concatenate(fields, axis=1)
+        parts = max(1, -(-int(size.sum()) // AUTOMATON_BYTES))
+        part = (mix64(anchor.view(np.uint64) ^ np.uint64(77)) % np.uint64(parts)).astype(np.int64)
+        ends = np.cumsum(count)
+        later = np.zeros(int(count.sum()), bool)
+        for _, mine in by_shard(part):
+            known: dict[bytes, int] = {}
+            codes = np.array([known.setdefault(w, len(known)) for w in b" ".join([texts[k] for k in mine]).split()], np.int64)
+            n = count[mine]
+            long = n + span - 1
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rank = np.repeat(doc[mine], n), np.repeat(start[mine], n) + each, np.repeat(tie[mine], n)
+            later[places_of(ends[mine] - n, n)] = later_windows(codes, np.cumsum(long) - long, n, rank, span)
+        return np.split(later, np.cumsum([int(f[3].sum()) for f in fields])[:-1])
+
+    def settle(state, gone):
         import pyarrow as pa
 
-        rows, h, first, row, _ = state
-        lead = w.first[kinds]
-        count = w.count[lead]
-        ends = np.cumsum(count)
-        each = window_places(w, kinds)
-        earliest = np.zeros(len(h), bool)  # windows that start nowhere earlier
-        earliest[each[~bits]] = True
-        # confirmed passages: runs of windows with an earlier start, and segments that lie more than once in this batch
-        confirmed = bits | np.repeat(w.copies[kinds] > 1, count)
-        runs: list[np.ndarray] = []
-        if confirmed.any():
-            edge = np.zeros(len(bits), bool)
-            edge[(ends - count)[count > 0]] = True
-            begin = confirmed & (edge | ~np.concatenate([[False], confirmed[:-1]]))
-            last_of = np.zeros(len(bits), bool)
-            last_of[ends[count > 0] - 1] = True
-            finish = confirmed & (last_of | ~np.concatenate([confirmed[1:], [False]]))
-            where = each[begin]
-            size = np.flatnonzero(finish) - np.flatnonzero(begin) + 1
-            inside = np.zeros(len(h) + 1, np.int64)
-            np.add.at(inside, where, 1)
-            np.add.at(inside, where + size + span - 1, -1)
-            letters = np.unique(h[np.cumsum(inside[:-1]) > 0])
-            codes = np.searchsorted(letters, h)
-            codes[codes == len(letters)] = 0
-            codes = np.where(letters[codes] == h, codes + 3, 2)
-            for lo, n in zip(where.tolist(), size.tolist(), strict=True):
-                for k in range(0, n, PATTERN_WINDOWS):
-                    runs.append(codes[lo + k : lo + min(n, k + PATTERN_WINDOWS) + span - 1])
-            stops = np.concatenate([codes, [1]])
-            # a document's words are followed by a letter of no pattern
-            place = np.arange(len(h)) + row
-            stops = np.ones(len(h) + len(rows), np.int64)
-            stops[place] = codes
-            found = _locate(stops, runs, span)[place]
-        else:
-            found = np.zeros(len(h), bool)
-        go = found & ~earliest
-        cover = np.zeros(len(h) + 1, np.int64)
-        at = np.flatnonzero(go)
+        rows, first = state[:2]
+        cover = np.zeros(len(gone) + 1, np.int64)
+        at = np.flatnonzero(gone)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + span, -1)
         keep = np.cumsum(cover[:-1]) == 0
@@ -173,7 +216,7 @@ def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             removed.append(int(len(stay) - stay.sum()))
         return [pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
 
-    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_words long, n_removed long, kept binary", windows_of, True)
+    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_words long, n_removed long, kept binary", True)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Windows, by_shard, recurrence, segments, window_places
+from .anchors import by_shard, recurrence, segments
 from .common import _BYTE, flat_bytes, mix64, powers
 
 #: Bytes of the k-grams that anchor a window, and of the first buckets.
 GRAM, FIRST = 48, 8
 #: Bytes of text in a batch; batches to a shard; bytes of a suffix array, about.
-BATCH_BYTES, BATCHES_PER_SHARD, ARRAY_BYTES = 3 << 20, 8, 3 << 20
+BATCH_BYTES, BATCHES_PER_SHARD, ARRAY_BYTES = 3 << 20, 4, 3 << 20
 
 
 def refined_buckets(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
@@ -65,17 +65,37 @@ def refined_buckets(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray
     return bucket
 
 
+def repeated_windows(texts: list[bytes], span: int) -> list[np.ndarray]:
+    """For each text, whether each of its windows of span bytes lies at another place of any text, by one suffix array
+    over the distinct ones."""
+    known: dict[bytes, int] = {}
+    which = [known.setdefault(t, len(known)) for t in texts]
+    copies = np.bincount(which, minlength=len(known))
+    text = np.frombuffer(b"".join(known), np.uint8)
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    ends = np.cumsum(size)
+    bucket = refined_buckets(text, ends, span)
+    whole = np.flatnonzero(bucket >= 0)
+    mine = bucket[whole]
+    total = np.bincount(mine, weights=np.repeat(copies, size)[whole], minlength=len(text) + 1)
+    again = np.zeros(len(text), bool)
+    again[whole] = total[mine] > 1
+    parts = [again[lo : hi - span + 1] for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+    return [parts[k] for k in which]
+
+
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
     """Removes each byte inside a string of ``span`` bytes that also starts anywhere else, in the same document or another.
 
     Only strings whose anchor recurs can recur (see anchors.py); their segments go to the anchor's shard, equal ones
-    of a batch once and with their number. A shard joins its distinct segments to one text and sorts its suffixes by
-    bucket-pointer refinement up to ``span`` bytes; a bucket of more than one place holds a repeated string. Strings
-    under an anchor that very many batches have are told apart by 64-bit hashes of string and anchor instead.
+    of a batch once. A shard joins its distinct segments to one text and sorts its suffixes by bucket-pointer refinement
+    up to ``span`` bytes; a bucket of more than one place holds a repeated string. Hashes only rule strings out: every
+    string that goes was found equal to another one byte by byte.
 
     Returns a row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
     Texts are UTF-8 bytes; matches never cross rows. Null texts count as empty; null ids and repeated rows are rows
-    like others. No rows give no rows; other columns are ignored.
+    like others, dealt to batches one by one. A text of any length is one row of one batch, so the longest text bounds
+    a batch from below. No rows give no rows; other columns are ignored.
     """
 
     def find(rows):
@@ -91,94 +111,68 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if n >= GRAM:
             inner = mix64((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
             grams[: n - GRAM + 1] = np.where(left[: n - GRAM + 1] >= GRAM, inner, grams[: n - GRAM + 1])
-        w = segments(grams, left >= span, span - GRAM + 1, span, lambda lo, hi: mix64((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
-        return (raw, at, sums, back), w
-
-    def send(state, w: Windows, kinds):
-        raw = state[0]
-        lead = w.first[kinds]
-        lo, count = w.start[lead], w.count[lead]
         data = raw.tobytes()
-        head = np.concatenate([[len(kinds)], count, w.copies[kinds], w.anchor[lead].view(np.int64)]).astype(np.int64)
-        return head.tobytes() + b"".join(data[a : a + c + span - 1] for a, c in zip(lo.tolist(), count.tolist(), strict=True))
-
-    def windows_of(state, w: Windows, kinds):
-        _, _, sums, back = state
-        each = window_places(w, kinds)
-        none = np.zeros(len(each), np.int64)
-        return mix64((sums[each + span] - sums[each]) * back[each]), none, none
-
-    def repeated(texts: list[bytes], times: list[int]) -> list[np.ndarray]:
-        """For each text, whether each of its windows is repeated, by one suffix array over the distinct ones."""
-        known: dict[bytes, int] = {}
-        which = [known.setdefault(t, len(known)) for t in texts]
-        copies = np.bincount(which, weights=times, minlength=len(known)).astype(np.int64)
-        text = np.frombuffer(b"".join(known), np.uint8)
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        ends = np.cumsum(size)
-        bucket = refined_buckets(text, ends, span)
-        whole = np.flatnonzero(bucket >= 0)
-        mine = bucket[whole]
-        total = np.bincount(mine, weights=np.repeat(copies, size)[whole], minlength=len(text) + 1)
-        again = np.zeros(len(text), bool)
-        again[whole] = total[mine] > 1
-        parts = [again[lo : hi - span + 1] for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        return [parts[k] for k in which]
+
+        def content(start, count):
+            end = start + count + span - 1
+            return mix64((sums[end] - sums[start]) * back[start] + count.astype(np.uint64))
+
+        def same(a, b, count):
+            return [data[x : x + c] == data[y : y + c] for x, y, c in zip(a.tolist(), b.tolist(), (count + span - 1).tolist(), strict=True)]
+
+        def hashes(places):
+            return mix64((sums[places + span] - sums[places]) * back[places])
+
+        return (raw, at, data), segments(grams, left >= span, span - GRAM + 1, content, same, hashes)
+
+    def send(state, start, count, anchor):
+        data = state[2]
+        head = np.concatenate([[len(start)], count, anchor.view(np.int64)]).astype(np.int64)
+        return head.tobytes() + b"".join(data[a : a + c + span - 1] for a, c in zip(start.tolist(), count.tolist(), strict=True))
 
     def judge(blobs):
-        texts, times, anchors, owner = [], [], [], []
+        texts, anchors, owner = [], [], []
         for k, b in enumerate(blobs):
             n = int(np.frombuffer(b, np.int64, 1)[0])
-            count, copies, anchor = np.frombuffer(b, np.int64, 3 * n, 8).reshape(3, n)
-            at = 8 + 24 * n
+            count, anchor = np.frombuffer(b, np.int64, 2 * n, 8).reshape(2, n)
+            at = 8 + 16 * n
             for c in count.tolist():
                 texts.append(b[at : at + c + span - 1])
                 at += c + span - 1
-            times += copies.tolist()
             anchors.append(anchor.view(np.uint64))
             owner += [k] * n
         # segments of one anchor meet; the anchors of a shard are taken in parts whose array stays small
         parts = max(1, -(-sum(map(len, texts)) // ARRAY_BYTES))
         part = (mix64(np.concatenate(anchors) ^ np.uint64(77)) % np.uint64(parts)).astype(np.int64)
         flags: list = [None] * len(texts)
-        for mine in by_shard(part, parts):
-            for k, f in zip(mine.tolist(), repeated([texts[k] for k in mine], [times[k] for k in mine]) if len(mine) else [], strict=True):
+        for _, mine in by_shard(part):
+            for k, f in zip(mine.tolist(), repeated_windows([texts[k] for k in mine], span), strict=True):
                 flags[k] = np.packbits(f), len(f)
         out: list[list] = [[] for _ in blobs]
         for k, (bits, n) in zip(owner, flags, strict=True):
             out[k].append(np.unpackbits(bits, count=n).astype(bool))
         return [np.concatenate(x) for x in out]
 
-    def settle(state, w: Windows, kinds, bits):
+    def settle(state, gone):
         import pyarrow as pa
 
-        raw, at = state[:2]
-        count = w.count[w.first]
-        place = np.full(len(w.first), -1, np.int64)  # where the bits of a distinct segment begin
-        ends = np.cumsum(count[kinds])
-        place[kinds] = ends - count[kinds]
-        mine = np.flatnonzero(place[w.kind] >= 0)
-        bits = bits | np.repeat(w.copies[kinds] > 1, count[kinds])
-        many = w.count[mine]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        again = bits[np.repeat(place[w.kind[mine]], many) + step]
-        starts = (np.repeat(w.start[mine], many) + step)[again]
+        raw, at, data = state
+        starts = np.flatnonzero(gone)
         cover = np.zeros(len(raw) + 1, np.int32)
         cover[starts] += 1
-        np.subtract.at(cover, starts + span, 1)
-        gone = np.cumsum(cover[:-1]) > 0
-        removed = np.concatenate([[0], np.cumsum(gone)])
-        first = gone.copy()
-        first[1:] &= ~gone[:-1]
+        cover[starts + span] -= 1
+        lost_byte = np.cumsum(cover[:-1]) > 0
+        removed = np.concatenate([[0], np.cumsum(lost_byte)])
+        first = lost_byte.copy()
+        first[1:] &= ~lost_byte[:-1]
         edge = at[:-1][at[:-1] < len(raw)]
-        first[edge] = gone[edge]
+        first[edge] = lost_byte[edge]
         spans = np.concatenate([[0], np.cumsum(first)])
         lost = removed[at[1:]] - removed[at[:-1]]
-        data = raw.tobytes()
-        kept = [data[a:b] if not r else raw[a:b][~gone[a:b]].tobytes() for a, b, r in zip(at.tolist(), at[1:].tolist(), lost.tolist(), strict=False)]
+        kept = [data[a:b] if not r else raw[a:b][~lost_byte[a:b]].tobytes() for a, b, r in zip(at.tolist(), at[1:].tolist(), lost.tolist(), strict=False)]
         return [pa.array(np.diff(at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans[at[1:]] - spans[at[:-1]], pa.int64()), pa.array(kept, pa.binary())]
 
-    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary", windows_of, False, BATCH_BYTES, BATCHES_PER_SHARD)
+    out = recurrence(docs, id_col, text_col, find, send, judge, settle, "id long, n_bytes long, n_removed long, n_spans long, kept binary", False, BATCH_BYTES, BATCHES_PER_SHARD)
     return out.withColumnRenamed("id", id_col)
 
 
