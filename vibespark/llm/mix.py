@@ -13,8 +13,8 @@ from .common import spill, text_of, word_count
 ROUNDS = 12
 #: Rows of one bucket of the running sums, about.
 BUCKET_ROWS = 2_000
-#: Output slots made by one row of the slot generator.
-CHUNK = 50_000
+#: Shards whose counts are summed up together.
+CHUNK = 4_096
 
 
 def permuted(index: Column, size: Column, *key: Column) -> Column:
@@ -70,45 +70,91 @@ def _running(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return d.join(sums, ["place", "bucket"]).withColumn("start", F.col("start") + F.col("bucket_start")).drop("bucket_start", "bucket")
 
 
+def shard_counts(spark, sources: DataFrame, shard_blocks: int, seed: int) -> tuple[DataFrame, int]:
+    """How many blocks of each source an output shard takes: (shard, place, count), and the number of shards.
+
+    sources: (place, wanted), the blocks that each source should give in all. A shard's counts are a multinomial draw
+    with the sources' shares, drawn by residual resampling: the whole part of a source's expected count is its own, and
+    the rest of the shard is drawn from the sources in proportion to their fractions, each draw by its own hash. So
+    every shard is drawn by itself, has its expected make-up to within a block of each source and a few draws, and the
+    deviation of the sums grows as the root of the number of shards. A draw finds its source through a guide table: the
+    sources' intervals cut into as many cells as there are sources, joined by cell.
+    """
+    wanted = sources.agg(F.sum("wanted").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if not wanted["n"]:
+        return spark.createDataFrame([], "shard long, place long, count long"), 0
+    shards, cells = max(1, round(wanted["w"] / shard_blocks)), wanted["n"]
+    s = sources.withColumn("expected", F.col("wanted") / shards).withColumn("whole", F.floor("expected"))
+    s = s.withColumn("hi", F.sum(F.col("expected") - F.col("whole")).over(Window.orderBy("place")))
+    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("place")), F.lit(0.0)))
+    rest = s.agg(F.max("hi")).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = spark.range(-(-shards // CHUNK)).withColumnRenamed("id", "chunk").repartition(parts, "chunk")
+    every = chunks.select(F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.lit(shards)) - 1)).alias("shard"))
+    some = s.filter("whole > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-shards // CHUNK) - 1).cast("long"))))
+    # a number of its own: the planner would otherwise join these few rows into one task before they grow
+    some = some.repartition(parts, "place", "chunk")
+    own = some.select(F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.lit(shards)) - 1)).alias("shard"), "place", F.col("whole").alias("count"))
+    if rest > 1e-9:
+        # the draws of a shard: fractions add up over the shards
+        draws = F.floor((F.col("shard") + 1) * rest + 1e-9) - F.floor(F.col("shard") * rest + 1e-9)
+        drawn = every.withColumn("draws", draws).filter("draws > 0").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("draw"))
+        unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("source"), "shard", "draw"), 12) / F.lit(float(1 << 52))
+        cell = lambda x: F.floor(x / F.lit(rest) * cells)
+        drawn = drawn.withColumn("u", unit * F.lit(rest)).withColumn("cell", cell(F.col("u")))
+        guide = s.filter("hi > lo").select("place", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+        drawn = drawn.join(guide, "cell").filter("lo <= u AND u < hi").select("shard", "place", F.lit(1).cast("long").alias("count"))
+        own = own.unionByName(drawn)
+    return own.groupBy("shard", "place").agg(F.sum("count").alias("count")), shards
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3),
-    cap: float = 3.0, block: int = 64, shard_blocks: int = 16_384, seed: int = 1, row_col: str | None = None,
+    cap: float = 3.0, block: int = 64, shard_blocks: int = 1_024, seed: int = 1, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mixes sources to target weights. Returns (documents, blocks).
 
-    The words of a source form one stream, packed into blocks of ``block`` words (the last may be shorter). Each source
-    has as many output slots as its target needs. A shard's source counts are drawn from the remaining slots of all
-    sources, so they are multinomial counts given the totals: slots take their output place by a pseudorandom
-    permutation of all places, and ``shard_blocks`` places are a shard. A source's slots, in epochs of its number of
-    blocks, go through the source's own permutation of block indexes, and blocks meet documents by block index.
+    The words of a source form one stream, packed into blocks of ``block`` words (the last may be shorter). Each output
+    shard of about ``shard_blocks`` blocks draws multinomial counts of the sources (see shard_counts). The slots that a
+    source got, numbered from shard to shard, go in epochs of its number of blocks through the source's own
+    pseudorandom permutation of block indexes, and blocks meet documents by block index. A slot beyond cap times the
+    source's blocks stays empty. Within its shard, a slot's position is pseudorandom too.
 
     documents: row (one per input row; row_col, if named, holds a whole number of its own for each), id, source, size,
     source_size, target, taken, and start, place (of the source).
-    blocks: output, shard (place in the mixed output), place, epoch, index (block of the source's stream).
+    blocks: shard, position (in the mixed output), place, epoch, index (block of the source's stream).
     A block is taken at most ceil(cap) times, so no document exceeds cap times its size (cap a whole number). Equal
     input and seed give equal results. Null or blank texts have size 0 and are taken 0 times; null sources form one
-    source, the last; repeated rows are separate documents; an empty table gives empty results.
+    source, the last; null and repeated ids and repeated rows are separate documents; among rows alike in id and size
+    any order may hold; an empty table gives empty results. Sources are few: windows over one row per source run in one task.
     """
+    spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     sized = spill(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size"), row.alias("row"))
     )
     targets = spill(source_targets(sized, weights, cap))
     length = F.lit(block)
-    n_blocks = F.ceil(F.col("source_size") / length)
-    quota = F.least(F.round(F.col("target") / F.col("source_size") * n_blocks), F.floor(F.lit(cap) * n_blocks)).cast("long")
-    sources = targets.filter("source_size > 0").select("place", n_blocks.cast("long").alias("n"), quota.alias("quota")).filter("quota > 0")
-    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    sources = sources.withColumn("base", F.coalesce(F.sum("quota").over(upto), F.lit(0))).withColumn("slots", F.sum("quota").over(Window.partitionBy()))
-    chunks = sources.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / CHUNK))))
-    # a number of its own: the planner would otherwise join these few rows into one task before they grow
-    chunks = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "chunk")
-    first = F.col("chunk") * CHUNK
-    slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("quota")) - 1)))
+    n_blocks = F.ceil(F.col("source_size") / length).cast("long")
+    sources = targets.filter("source_size > 0").select("place", n_blocks.alias("n"), (F.col("target") / F.col("source_size") * n_blocks).alias("wanted"))
+    counts, _ = shard_counts(spark, sources, shard_blocks, seed)
+    counts = spill(counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK)))
+    sums = counts.groupBy("place", "chunk").agg(F.sum("count").alias("n_chunk"))
+    ahead = lambda *by: Window.partitionBy(*by)
+    before = Window.unboundedPreceding, -1
+    sums = sums.select("place", "chunk", F.coalesce(F.sum("n_chunk").over(ahead("place").orderBy("chunk").rowsBetween(*before)), F.lit(0)).alias("first"))
+    made = counts.withColumns({
+        "first_here": F.coalesce(F.sum("count").over(ahead("place", "chunk").orderBy("shard").rowsBetween(*before)), F.lit(0)),
+    }).join(sums, ["place", "chunk"])
+    made = made.withColumns({
+        "lead": F.coalesce(F.sum("count").over(ahead("shard").orderBy("place").rowsBetween(*before)), F.lit(0)),
+        "filled": F.sum("count").over(ahead("shard")),
+    }).join(F.broadcast(sources), "place")
+    slots = made.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    slots = slots.withColumn("slot", F.col("first") + F.col("first_here") + F.col("k")).filter(F.col("slot") < F.floor(F.lit(cap) * F.col("n")))
     epoch = F.floor(F.col("slot") / F.col("n"))
-    output = permuted(F.col("base") + F.col("slot"), F.col("slots"), F.lit(seed))
     blocks = slots.select(
-        output.alias("output"), F.floor(output / shard_blocks).alias("shard"), "place", epoch.alias("epoch"),
+        "shard", permuted(F.col("lead") + F.col("k"), F.col("filled"), F.lit(seed), F.lit("position"), F.col("shard")).alias("position"), "place", epoch.alias("epoch"),
         permuted(F.pmod("slot", F.col("n")), F.col("n"), F.lit(seed), F.col("place"), epoch).alias("index"),
     )
     at = spill(_running(sized, targets))
@@ -126,8 +172,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: each epoch that takes words of a document gives a row of it with the words taken.
 
     A document whose words are all taken in an epoch keeps its text unchanged; of others, the taken words stay, in
-    order, joined by one space. n_chars, where docs has it as a column, follows the text. A document that no epoch takes gives no row.
-    Rows are documents of their own, whether their id is null or repeats.
+    order, joined by one space. n_chars, where docs has it as a column, follows the text. A row stands in the output
+    shard and at the place of the first of its blocks there: a partition holds whole shards, one after the other. A
+    document that no epoch takes gives no row. Rows are documents of their own, whether their id is null or repeats.
+    No rows give no rows; other columns stay as they are.
     """
     block = options.get("block", 64)
     text_col = options.get("text_col", "text")
@@ -140,15 +188,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = d.select("row", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
     lo = F.greatest(F.col("start"), F.col("index") * length) - F.col("start")
     hi = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.col("start")
-    runs = parts.withColumns({"lo": lo, "hi": hi}).join(blocks.select("place", "index", "epoch").hint("merge"), ["place", "index"])
-    runs = runs.groupBy("row", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_words"))
-    out = kept.join(runs.select(F.col("row").alias("_mix_row"), F.col("size").alias("_size"), "_spans", "_words"), "_mix_row")
+    runs = parts.withColumns({"lo": lo, "hi": hi}).join(blocks.hint("merge"), ["place", "index"])
+    runs = runs.groupBy("row", "size", "epoch").agg(
+        F.min(F.struct("shard", "position")).alias("first"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words")
+    )
+    # at most ceil(cap) epochs of a document
+    runs = runs.groupBy(F.col("row").alias("_mix_row")).agg(F.collect_list(F.struct("first", "spans", (F.col("words") == F.col("size")).alias("whole"))).alias("_mix_runs"))
+    out = kept.join(runs, "_mix_row")
     split = F.split(F.regexp_replace(text_of(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.flatten(F.transform(F.col("_spans"), lambda s: F.slice(split, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
-    out = out.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut))
+    # the words are looked up only where a text is cut, once for all of its epochs
+    out = out.withColumn("_mix_words", F.when(F.exists("_mix_runs", lambda r: ~r["whole"]), split)).withColumn("_mix_run", F.explode("_mix_runs"))
+    cut = F.array_join(F.flatten(F.transform(F.col("_mix_run.spans"), lambda s: F.slice("_mix_words", (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
+    out = out.withColumn(text_col, F.when(F.col("_mix_run.whole"), F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = out.select(*docs.columns, F.col("_mix_run.first.shard").alias("_mix_shard"), F.col("_mix_run.first.position").alias("_mix_position"))
+    return out.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_position").select(*docs.columns)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:

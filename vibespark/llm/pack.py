@@ -18,14 +18,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose class (letter, digit, white space, other) all regex engines agree on.
 _PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u024f]*")
 _workers: dict = {}
+#: Rows of a packing plan that are broadcast at most (40 bytes each).
+MOST_SLOTS = 200_000
 
 
 class TextCoder:
-    """Ids of texts by the tokenizer at path; strings of special tokens inside a text are ordinary text.
+    """Ids of texts by the tokenizer at path, as it is: a special token written inside a text is that token.
 
     A byte-level BPE vocabulary numbered in the order of its merges is also loaded into tiktoken, which finds the same
-    ids several times faster. It codes the texts of plain characters; the tokenizer codes all others, and the first
-    text of each worker as a check: should they differ there, the tokenizer codes everything.
+    ids several times faster. It codes the texts of plain characters without added tokens; the tokenizer codes all
+    others, and the first text of each worker as a check: should they differ there, the tokenizer codes everything.
     """
 
     def __init__(self, path: str):
@@ -33,7 +35,8 @@ class TextCoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast, self.checked = self._fast(), False
 
     def _fast(self):
@@ -58,17 +61,20 @@ class TextCoder:
     def quick(self, text: str) -> bytes:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
+    def is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not (self.added and self.added.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.fast and not self.checked:
-            first = next((t for t in texts if t and _PLAIN.fullmatch(t)), None)
+            first = next((t for t in texts if t and self.is_plain(t)), None)
             if first is not None:
                 self.checked = True
                 if self.slow([first]) != [self.quick(first)]:
                     self.fast = None
         if not self.fast:
             return self.slow(texts)
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [self.is_plain(t) for t in texts]
         rest = iter(self.slow([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [self.quick(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
 
@@ -164,7 +170,8 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
 
     Every piece lies whole in one sequence, gapless from offset 0; sequences hold at most max_tokens tokens, max_docs
     pieces and max_attention sum of squared lengths (None: what max_tokens implies). Only the counts per length, at
-    most max_tokens rows, reach the driver. Ranks within a length come from running sums over hashed buckets, so a
+    most max_tokens rows, reach the driver, and the plan made of them, a few rows per length, is broadcast up to
+    MOST_SLOTS rows. Ranks within a length come from running sums over hashed buckets, so a
     length that any share of the pieces has is spread out. Other columns stay; no pieces give no rows.
     """
     spark = pieces.sparkSession
@@ -175,7 +182,8 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
     for length, *slot in rows:
         slots.setdefault(length, []).append(tuple(slot))
     kind = "length long, slots array<struct<lo: long, hi: long, seq: long, each: long, at: long>>"
-    table = F.broadcast(spark.createDataFrame(list(slots.items()), kind))
+    table = spark.createDataFrame(list(slots.items()), kind)
+    table = F.broadcast(table) if len(rows) <= MOST_SLOTS else table.hint("merge")
     buckets = max(1, sum(counts.values()) // 2_000)
     d = kept.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     sums = d.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

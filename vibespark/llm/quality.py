@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,15 +21,15 @@ SLICE = 1 << 14
 @dataclass(frozen=True)
 class QualityOptions:
     """labelled: labelled rows used at most, half to fit the target and half to choose the cut; smoothing: added to each
-    count; neutral: log ratios nearer 0 than this count as 0, so that shares of languages do not matter; prior: grams of average text that a short text is mixed with; scale: grams of the text whose importance
-    weight is given; temperature: of the Gumbel noise; clean_cost: what losing a share of clean labelled rows costs
+    count; neutral: log ratios nearer 0 than this count as 0, so that shares of languages do not matter; prior: grams of average text that a short text is mixed with; scale: grams
+    of the text whose importance weight is given, few enough that the Gumbel noise decides near the cut; temperature: of the Gumbel noise; clean_cost: what losing a share of clean labelled rows costs
     against keeping the same share of the others; seed."""
 
     labelled: int = 20_000
     smoothing: float = 1.0
     neutral: float = 0.3
     prior: float = 100.0
-    scale: float = 1_000.0
+    scale: float = 100.0
     temperature: float = 1.0
     clean_cost: float = 10.0
     seed: int = 17
@@ -71,11 +72,8 @@ def count_grams(docs: DataFrame, clean_ids: np.ndarray) -> tuple[np.ndarray, np.
 
         table = np.zeros((2, size), np.int64)
         for batch in arrow_slices(batches, "text"):
-            ids = pc.fill_null(batch.column("id"), -1).to_numpy(zero_copy_only=False)
-            clean = wanted.value
-            at = np.searchsorted(clean, ids)
-            mine = np.zeros(len(ids), bool)
-            mine[at < len(clean)] = clean[at[at < len(clean)]] == ids[at < len(clean)]
+            ids = pc.fill_null(batch.column("id"), 0).to_numpy(zero_copy_only=False)
+            mine = np.isin(ids, wanted.value) & pc.is_valid(batch.column("id")).to_numpy(zero_copy_only=False)
             for (g, of), base in zip(grams_of(pc.fill_null(batch.column("text"), "")), (0, BUCKETS), strict=True):
                 top = BUCKETS if base == 0 else 1 << REPEATS
                 table[0, base : base + top] += np.bincount(g, minlength=top)
@@ -106,15 +104,22 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float, neutral: f
     return np.where(np.abs(every) < neutral, 0.0, every)
 
 
-def weights(ids: np.ndarray, texts, ratios: np.ndarray, o: QualityOptions) -> tuple[np.ndarray, np.ndarray]:
-    """Log importance weight of each text, and its Gumbel key."""
-    n = len(ids)
+def weights(column, texts, ratios: np.ndarray, o: QualityOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Log importance weight of each text, and its Gumbel key; the noise is the id's, of a null id the text's."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(column)
+    ids = pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+    if column.null_count:
+        own = np.array([zlib.crc32(t.as_buffer() or b"") | 1 << 63 for t in texts.cast(pa.binary())], np.uint64)
+        ids = np.where(pc.is_null(column).to_numpy(zero_copy_only=False), own, ids)
     weight = np.zeros(n)
     for (g, of), base in zip(grams_of(texts), (0, BUCKETS), strict=True):
         prior = o.prior if base == 0 else o.prior / 10
         weight += np.bincount(of, weights=ratios[base + g], minlength=n) / (np.bincount(of, minlength=n) + prior)
     weight = np.round(o.scale * weight, 6)
-    u = (mix64(ids.astype(np.int64).view(np.uint64) ^ mix64(np.array([o.seed], np.uint64))) >> np.uint64(11)).astype(np.float64)
+    u = (mix64(ids ^ mix64(np.array([o.seed], np.uint64))) >> np.uint64(11)).astype(np.float64)
     gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))
     return weight, weight + o.temperature * gumbel
 
@@ -134,8 +139,7 @@ class QualityModel:
             import pyarrow.compute as pc
 
             for batch in arrow_slices(batches, "text"):
-                ids = pc.fill_null(batch.column("id"), -1).to_numpy(zero_copy_only=False)
-                w, key = weights(ids, pc.fill_null(batch.column("text"), ""), shared.value, o)
+                w, key = weights(batch.column("id"), pc.fill_null(batch.column("text"), ""), shared.value, o)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(w), pa.array(key)], ["id", "weight", "key"])
 
         return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, weight double, key double")
@@ -149,8 +153,7 @@ class QualityModel:
             import pyarrow.compute as pc
 
             for batch in arrow_slices(batches, text_col):
-                ids = pc.fill_null(batch.column(id_col).cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
-                _, key = weights(ids, pc.fill_null(batch.column(text_col), ""), shared.value, o)
+                _, key = weights(batch.column(id_col), pc.fill_null(batch.column(text_col), ""), shared.value, o)
                 yield batch.filter(pa.array(key >= cut))
 
         return docs.mapInArrow(run, docs.schema)
@@ -191,7 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, options: QualityOptions | No
     the k-th key are all drawn. Without labelled rows of both kinds everything is kept.
 
     scores: id, weight, key, kept for each row of docs. Null texts count as empty, which weighs as average target text;
-    null ids share one noise; a null quality is no label, a null toxic is 0; an id with several labels is clean only if
+    null ids have no label and the noise of their text; a null quality is no label, a null toxic is 0; an id with several labels is clean only if
     all are. No rows give no rows; other columns are ignored.
     """
     o = options or QualityOptions()
@@ -205,15 +208,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, options: QualityOptions | No
     model = QualityModel(log_ratios(raw, target, o.smoothing, o.neutral), o)
     scores = spill(model.score(docs, id_col, text_col))
     held = docs.sparkSession.createDataFrame([(r["id"], bool(r["clean"])) for r, s in zip(chosen, half, strict=True) if s == 1], "id long, clean boolean")
-    seen = scores.join(F.broadcast(held), "id").select("weight", "clean").limit(2 * o.labelled).collect() if len(chosen) else []
-    good, bad = (np.sort([r["weight"] for r in seen if r["clean"] == c]) for c in (True, False))
+    seen = scores.join(F.broadcast(held), "id").select("key", "clean").limit(2 * o.labelled).collect() if len(chosen) else []
+    good, bad = (np.sort([r["key"] for r in seen if r["clean"] == c]) for c in (True, False))
     if len(fit) and len(good) and len(bad) or k is not None:
         if k is None:
             cuts = np.unique(np.concatenate([good, bad]))
             gain = o.clean_cost * (len(good) - np.searchsorted(good, cuts)) / len(good) - (len(bad) - np.searchsorted(bad, cuts)) / len(bad)
             best = int(gain.argmax())
             cut = (cuts[best] + cuts[best - 1]) / 2 if best else cuts[0]  # midway to the next labelled row below
-            k = scores.filter(F.col("weight") >= float(cut)).count()
+            k = scores.filter(F.col("key") >= float(cut)).count()
         edge = scores.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).first()
         model.cut = np.inf if k < 1 else -np.inf if k >= edge["n"] else _kth_largest(scores.select("key"), k, edge["lo"], edge["hi"])
     return model, scores.withColumn("kept", F.col("key") >= F.lit(float(model.cut)))
