@@ -15,18 +15,24 @@ from .common import spill
 @dataclass(frozen=True)
 class IndexOptions:
     """rows_per_list: rows to a centroid, about; max_lists: bound of centroids, hence of what is broadcast (max_lists times
-    dimension times 4 bytes, and degree times 4 bytes of graph); sample_rows: rows, about, that centroids are fitted on;
-    replicas, closure: a vector lies in its nearest list and in others, up to replicas in all, whose centroid is at most
-    1 + closure times as far; probe_ratio: a query reads the lists whose centroid is at most probe_ratio times as far
-    as the nearest, or as the list at which k others are sure; split_rows: longer lists are split; degree, beam: neighbours in the graph, candidates kept at least."""
-
-    rows_per_list: int = 200
+    dimension times 4 bytes, and degree times 4 bytes of graph); sample_rows: rows, about, that centroids are fitted on,
+    and four to a list at least; replicas, closure: a vector lies in its nearest list and in others, up to replicas in
+    all, whose centroid is at most 1 + closure times as far; probe_ratio: a query reads the lists whose centroid is at
+    most probe_ratio times as far as the nearest, or as the list at which k others are sure; None: the ratio at which
+    trial_queries rows of the sample find the share ``recall`` of their neighbours in the sample, so that data with
+    clusters are pruned far more than data without; split_rows, split_queries: longer lists, and those that more
+    queries read, are split; degree, beam: neighbours in the graph, candidates kept at least."""
+
+    rows_per_list: int = 100
     max_lists: int = 16_384
     sample_rows: int = 20_000
-    replicas: int = 4
-    closure: float = 0.1
-    probe_ratio: float = 1.15
+    replicas: int = 2
+    closure: float = 0.02
+    probe_ratio: float | None = None
+    recall: float = 0.95
+    trial_queries: int = 300
     split_rows: int = 2_000
+    split_queries: int = 2_000
     degree: int = 24
     beam: int = 32
     rounds: int = 8
@@ -101,6 +107,31 @@ def search_graph(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int, rat
     return out
 
 
+def fitted_ratio(sample: np.ndarray, c: np.ndarray, k: int, o: IndexOptions) -> float:
+    """The probe ratio at which trial queries from the sample reach o.recall of their k nearest rows of the sample.
+
+    Neighbours in a sample are farther apart than among all rows, so the ratio errs to the side of reading more.
+    """
+    rng = np.random.Generator(np.random.PCG64(13))
+    asked = rng.permutation(len(sample))[: o.trial_queries]
+    k = min(k, len(sample) - 1)
+    if k < 1 or len(c) < 2:
+        return 1.0
+    own = _distances(sample[asked], c)
+    needed = []
+    for lo in range(0, len(asked), 64):
+        d = _distances(sample[asked[lo : lo + 64]], sample)
+        d[np.arange(len(d)), asked[lo : lo + 64]] = np.inf
+        for i, near in enumerate(np.argpartition(d, k - 1, axis=1)[:, :k]):
+            from_c = _distances(sample[near], c)
+            lists = np.argsort(from_c, axis=1)[:, : o.replicas]
+            reach = np.take_along_axis(from_c, lists, axis=1)
+            mine = own[lo + i]
+            far = np.where(reach <= (1 + o.closure) * reach[:, :1] + 1e-6, mine[lists], np.inf).min(axis=1)
+            needed.append(far / max(mine.min(), 1e-6))
+    return float(np.quantile(np.concatenate(needed), o.recall)) + 1e-6
+
+
 def enough_lists(one: np.ndarray, c: np.ndarray, held: np.ndarray, least: int, ratio: float) -> np.ndarray:
     """The lists by centroid distance until they hold ``least`` ids, with those at most ratio times as far as the last; all if none suffice."""
     c = c.astype(np.float64)
@@ -122,10 +153,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """The k nearest vectors found for each query by Euclidean distance: (query_id, rank, vec_id, score).
 
     Centroids are fitted on a bounded sample; every vector is put into posting lists, boundary vectors into several.
-    Lists longer than split_rows are split by hashed id, so they stay balanced however many vectors coincide. A query
-    reads the lists that the distance ratio selects; where these may hold fewer than k other ids, it goes on to farther
-    ones until k are sure, so that only tables of fewer candidates give fewer than k rows. The rows of its lists are compared in double precision on the original
-    vectors. Ties go to the smaller id; a query's own id is no candidate. Vectors that are null, zero, or hold null or
+    Lists longer than split_rows are split by hashed id, so they stay balanced however many vectors coincide, and so are
+    the queries of a list. A query reads the lists that the distance ratio selects; where these may hold fewer than k
+    other ids, it goes on to farther ones until k are sure, so that only tables of fewer candidates give fewer than k
+    rows. The rows of its lists are compared in double precision on the original vectors. Ties go to the smaller id; a query's own id is no candidate. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do those of a length other than the most frequent. Rows that repeat an id
     count once, with their nearest vector. No vectors or queries give no rows.
     """
@@ -139,12 +170,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     dims, total = lengths[0]["n"], lengths[0]["rows"]
     rows = rows.filter(F.size("vec") == dims)
     asked = usable(queries, id_col, vec_col).filter(F.size("vec") == dims)
-    every = max(1, total // o.sample_rows)
-    sample = np.array([r["vec"] for r in rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).select("vec").limit(2 * o.sample_rows).collect()], np.float32)
-    lists = max(1, min(o.max_lists, total // o.rows_per_list, max(1, len(sample) // 4)))
+    lists = max(1, min(o.max_lists, total // o.rows_per_list))
+    wanted = max(o.sample_rows, 4 * lists)
+    every = max(1, total // wanted)
+    sample = np.array([r["vec"] for r in rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).select("vec").limit(2 * wanted).collect()], np.float32)
     if not len(sample):
         sample = np.zeros((1, dims), np.float32)
     c = fit_centroids(sample, lists, o.rounds, o.balance)
+    probe_ratio = fitted_ratio(sample, c, k, o) if o.probe_ratio is None else o.probe_ratio
     shared = spark.sparkContext.broadcast((c, centroid_graph(c, o.degree)))
 
     def placed(limit: int | None, ratio: float, held: np.ndarray | None = None):
@@ -176,11 +209,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     held = np.zeros(len(c), np.int64)
     for r in homes.collect():  # a row per centroid
         held[r["list"]] = r["n"]
+    probes = spill(asked.mapInArrow(placed(None, probe_ratio, held), kind))
     splits = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / o.split_rows).alias("splits"))
-    splits = F.broadcast(splits)  # a row per centroid, at most max_lists
-    posted = posted.join(splits, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("splits"))).select("list", "part", "id", "vec")
-    probes = asked.mapInArrow(placed(None, o.probe_ratio, held), kind).join(splits, "list")
-    probes = probes.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("part"), "id", "vec")
+    reads = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / o.split_queries).alias("reads"))
+    cut = F.broadcast(splits.join(reads, "list"))  # a row per centroid, at most max_lists
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    posted = posted.join(cut, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("splits"))).select("list", "part", upto("reads").alias("turn"), "id", "vec")
+    probes = probes.join(cut, "list").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("reads"))).select("list", upto("splits").alias("part"), "turn", "id", "vec")
 
     def compare(left, right):
         import pyarrow as pa
@@ -205,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         cols = [np.concatenate(b) if b else np.zeros(0) for b in best]
         return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-    found = posted.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = posted.groupBy("list", "part", "turn").cogroup(probes.groupBy("list", "part", "turn")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -14,9 +14,13 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); an own one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); an own one only where that is unset and the
+    master is local, as other machines don't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = getattr(spark, "_vibespark_shared", None) or f"file://{tempfile.mkdtemp(prefix='vibespark-')}"
         spark._vibespark_shared = named
     return named.rstrip("/")
