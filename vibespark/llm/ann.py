@@ -19,7 +19,7 @@ class IndexOptions:
     and four to a list at least; replicas, closure: a vector lies in its nearest list and in others, up to replicas in
     all, whose centroid is at most 1 + closure times as far; probe_ratio: a query reads the lists whose centroid is at
     most probe_ratio times as far as the nearest, or as the list at which k others are sure; None: the ratio at which
-    trial_queries rows of the sample find the share ``recall`` of their neighbours in the sample, so that data with
+    trial_queries rows of the sample find the share ``recall`` of their neighbours, so that data with
     clusters are pruned far more than data without; split_rows, split_queries: longer lists, and those that more
     queries read, are split; degree, beam: neighbours in the graph, candidates kept at least."""
 
@@ -27,9 +27,9 @@ class IndexOptions:
     max_lists: int = 16_384
     sample_rows: int = 20_000
     replicas: int = 2
-    closure: float = 0.02
+    closure: float = 0.005
     probe_ratio: float | None = None
-    recall: float = 0.95
+    recall: float = 0.93
     trial_queries: int = 300
     split_rows: int = 2_000
     split_queries: int = 2_000
@@ -107,11 +107,13 @@ def search_graph(x: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int, rat
     return out
 
 
-def fitted_ratio(sample: np.ndarray, c: np.ndarray, k: int, o: IndexOptions) -> float:
-    """The probe ratio at which trial queries from the sample reach o.recall of their k nearest rows of the sample.
+def fitted_ratio(sample: np.ndarray, c: np.ndarray, k: int, o: IndexOptions, share: float = 1.0) -> float:
+    """The probe ratio at which trial queries from the sample reach o.recall of their nearest rows of the sample.
 
-    Neighbours in a sample are farther apart than among all rows, so the ratio errs to the side of reading more.
+    share: of all rows, what the sample is. Of the k nearest of all rows, about k * share are in the sample, as its
+    nearest; at least one is tried, so that of a small sample the ratio errs to the side of reading more.
     """
+    k = max(1, round(k * min(share, 1.0)))
     rng = np.random.Generator(np.random.PCG64(13))
     asked = rng.permutation(len(sample))[: o.trial_queries]
     k = min(k, len(sample) - 1)
@@ -177,7 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     if not len(sample):
         sample = np.zeros((1, dims), np.float32)
     c = fit_centroids(sample, lists, o.rounds, o.balance)
-    probe_ratio = fitted_ratio(sample, c, k, o) if o.probe_ratio is None else o.probe_ratio
+    probe_ratio = fitted_ratio(sample, c, k, o, len(sample) / total) if o.probe_ratio is None else o.probe_ratio
     shared = spark.sparkContext.broadcast((c, centroid_graph(c, o.degree)))
 
     def placed(limit: int | None, ratio: float, held: np.ndarray | None = None):
@@ -210,37 +212,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     for r in homes.collect():  # a row per centroid
         held[r["list"]] = r["n"]
     probes = spill(asked.mapInArrow(placed(None, probe_ratio, held), kind))
+    # lists of neighbouring numbers are read together, so that a query leaves k rows for each bin and not for each list
+    a_bin = max(1, o.split_rows // o.rows_per_list)
+    bin_of = F.floor(F.col("list") / a_bin)
     splits = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / o.split_rows).alias("splits"))
-    reads = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / o.split_queries).alias("reads"))
-    cut = F.broadcast(splits.join(reads, "list"))  # a row per centroid, at most max_lists
+    reads = probes.withColumn("bin", bin_of).groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (o.split_queries * a_bin)).alias("reads"))
+    cut = splits.withColumn("bin", bin_of).join(reads, "bin")  # a row per centroid, at most max_lists
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    posted = posted.join(cut, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("splits"))).select("list", "part", upto("reads").alias("turn"), "id", "vec")
-    probes = probes.join(cut, "list").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("reads"))).select("list", upto("splits").alias("part"), "turn", "id", "vec")
+    posted = posted.join(F.broadcast(cut.select("list", "splits", "reads")), "list").withColumn("bin", bin_of).withColumn("part", F.pmod(F.xxhash64("id"), F.col("splits"))).select("bin", "part", upto("reads").alias("turn"), "list", "id", "vec")
+    probes = probes.join(F.broadcast(cut.select("list", "splits", "reads")), "list").withColumn("bin", bin_of).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("reads"))).select("bin", upto("splits").alias("part"), "turn", "list", "id", "vec")
+
+    def columns(table):
+        vec = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        return np.array(table.column("list"), np.int64), np.array(table.column("id"), np.int64), vec
 
     def compare(left, right):
         import pyarrow as pa
 
-        ids = np.array(left.column("id"), np.int64)
-        x = left.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        q_ids = np.array(right.column("id"), np.int64)
-        q = right.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        (lists, ids, x), (q_lists, q_ids, q) = columns(left), columns(right)
         best: list[list[np.ndarray]] = [[], [], []]
-        for lo in range(0, len(q), 32):
-            for at in range(0, len(x), 2048):
-                d = np.sqrt(((q[lo : lo + 32, None] - x[None, at : at + 2048]) ** 2).sum(-1))
-                for i, row in enumerate(d):
-                    near = np.lexsort((ids[at : at + 2048], row))
-                    near = near[ids[at + near] != q_ids[lo + i]]
-                    # a repeated id must not push others out
-                    _, once = np.unique(ids[at + near], return_index=True)
-                    near = near[np.sort(once)][:k]
-                    best[0].append(np.full(len(near), q_ids[lo + i]))
-                    best[1].append(ids[at + near])
-                    best[2].append(row[near])
-        cols = [np.concatenate(b) if b else np.zeros(0) for b in best]
-        return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
-
-    found = posted.groupBy("list", "part", "turn").cogroup(probes.groupBy("list", "part", "turn")).applyInArrow(compare, "query_id long, vec_id long, score double")
+        for one in np.intersect1d(lists, q_lists):
+            rows, asking = np.flatnonzero(lists == one), np.flatnonzero(q_lists == one)
+            for lo in range(0, len(asking), 32):
+                for at in range(0, len(rows), 2048):
+                    mine, own = asking[lo : lo + 32], rows[at : at + 2048]
+                    d = np.sqrt(((q[mine, None] - x[None, own]) ** 2).sum(-1))
+                    for i, row in zip(mine, d, strict=True):
+                        near = np.lexsort((ids[own], row))
+                        near = near[ids[own[near]] != q_ids[i]]
+                        # a repeated id must not push others out
+                        _, once = np.unique(ids[own[near]], return_index=True)
+                        near = near[np.sort(once)][:k]
+                        best[0].append(np.full(len(near), q_ids[i]))
+                        best[1].append(ids[own[near]])
+                        best[2].append(row[near])
+        qid, vid, dist = (np.concatenate(b) if b else np.zeros(0) for b in best)
+        order = np.lexsort((dist, vid, qid))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (qid[order][1:] != qid[order][:-1]) | (vid[order][1:] != vid[order][:-1])
+        order = order[fresh]
+        order = order[np.lexsort((vid[order], dist[order], qid[order]))]
+        first = np.searchsorted(qid[order], qid[order])
+        order = order[np.arange(len(order)) - first < k]
+        return pa.table([pa.array(qid[order].astype(np.int64)), pa.array(vid[order].astype(np.int64)), pa.array(dist[order].astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+    found = posted.groupBy("bin", "part", "turn").cogroup(probes.groupBy("bin", "part", "turn")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
