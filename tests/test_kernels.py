@@ -132,7 +132,13 @@ def test_times_and_ticks():
     assert tx.parse_time(dt.datetime(2024, 1, 1, 0, 0, 3), dt.datetime(2024, 1, 1)) == 3_000_000
     with pytest.raises(ValueError):
         tx.parse_time("1:2:3:4:5")
+    assert tx.parse_time("") is None and tx.parse_time("1d 2h 3m 4s") == ((26 * 60 + 3) * 60 + 4) * 1_000_000
+    assert tx.parse_time(dt.time(1, 0, 2)) == 3_602_000_000 and tx.parse_time(dt.datetime(2024, 1, 1, 0, 0, 3)) == 3_000_000
+    assert tx.parse_time(dt.time(1, 0, 2), dt.datetime(2024, 1, 1, 1)) == 2_000_000
+    with pytest.raises(ValueError):
+        tx.parse_time("5 weeks")
     assert tx.log_ticks(1, 100) == [1, 2, 5, 10, 20, 50, 100] and tx.log_ticks(1, 10, "coarse") == [1, 10]
+    assert tx.log_ticks(3, 40) == [1, 2, 5, 10, 20, 50, 100] and tx.log_ticks(3, 8, "any") == [*range(1, 10), 10]
 
 
 def test_measurement_types():

@@ -344,3 +344,21 @@ def test_window_stream(spark, tmp_path):
         want = make_view(e).select("start", "n").collect()
         got = spark.table(name).select("start", "n").collect()
         assert set(got) <= set(want) and (name == "w2" or len(got) == len(want))
+
+
+def test_octave_bins_of_spectrograms(spark):
+    """Bins added up beside the arrays equal those of exploded spectra."""
+    from pyspark.sql import functions as F
+
+    from vibespark.operators import spectral
+
+    i = F.col("id")
+    sig = spark.range(4000).select(F.lit("r").alias("series_id"), F.lit("x").alias("axis"), i.alias("i"), (i / 200.0).alias("t"), (F.sin(i / 3.0) + F.rand(1)).alias("v")).persist()
+    for agg in ("sum", "mean"):
+        got = spectral.spectrogram(sig, 5, None, 0.5, 3, 2.0, agg, None, False)
+        plain = spectral.spectrogram(sig, 5, None, 0.5, None, 2.0, agg, None, False)
+        want = spectral.to_octave(plain, 2.0, 3, agg, ["timestamp"])
+        rows = {(r.timestamp, round(r.freq, 6)): r.value for r in want.collect()}
+        assert {(r.timestamp, round(r.freq, 6)): r.value for r in got.collect()} == pytest.approx(rows) and len(rows) > 40
+    made = spectral.octave_spectrogram(sig, 4.0, 3, 2.0)
+    assert {r.axis for r in made.select("axis").distinct().collect()} == {"x"}

@@ -36,21 +36,32 @@ def parse_time_column(text: Column) -> Column:
     return F.when((F.size(parts) >= 1) & (F.size(parts) <= 4), (total * 1e6).cast("long"))
 
 
+#: Right-aligned fields of a time, parted by colons, blanks, or the letters of units.
+_FIELD, _GAP = r"[0-9]+(?:\.[0-9]*)?", r"[:dhms\s]+"
+_TIME = re.compile(rf"(?:(?:(?:(?P<days>{_FIELD}){_GAP})?(?P<hours>{_FIELD}){_GAP})?(?P<minutes>{_FIELD}){_GAP})?(?P<seconds>{_FIELD})(?:{_GAP})?")
+
+
 def parse_time(t, start: dt.datetime | None = None) -> int | None:
-    """Microseconds of a number (as it is), a string, a timedelta, or a datetime less start."""
-    if t is None or isinstance(t, int | float):
-        return t
-    if isinstance(t, dt.timedelta):
-        return round(t.total_seconds() * 1e6)
-    if isinstance(t, dt.datetime):
-        if start is None:
-            raise ValueError("a datetime needs the start of the recording")
-        return round((t - start).total_seconds() * 1e6)
+    """Microseconds of a number (as it is), a string, a timedelta, or a datetime or time of day less start.
+
+    start: of the recording; without it, the midnight before. An empty string, like None, is no time.
+    """
+    if t is None or t == "":
+        return None
     if isinstance(t, str):
-        parts = [p for p in re.split(r"[^0-9.+-]+", t) if p]
-        if not 1 <= len(parts) <= 4:
+        fields = _TIME.fullmatch(t.strip().lower())
+        if not fields:
             raise ValueError(f"no time: {t!r}")
-        return round(sum(float(p) * k for p, k in zip(reversed(parts), (1, 60, 3_600, 86_400), strict=False)) * 1e6)
+        t = dt.timedelta(**{name: float(x) for name, x in fields.groupdict().items() if x})
+    if isinstance(t, dt.time):
+        t = dt.datetime.combine((start or dt.datetime(1970, 1, 1)).date(), t)
+        start = start or dt.datetime(1970, 1, 1)
+    if isinstance(t, dt.datetime):
+        t -= start or t.replace(hour=0, minute=0, second=0, microsecond=0)
+    if isinstance(t, dt.timedelta):
+        return t // dt.timedelta(microseconds=1)
+    if isinstance(t, int | float):
+        return t
     raise TypeError(f"no time: {t!r}")
 
 
@@ -89,10 +100,8 @@ def attributes_table(files: DataFrame, names: list[tuple[str, str]] | None = Non
 
 
 def log_ticks(start: float, stop: float, spacing: str = "medium") -> list[float]:
-    """Positions of ticks on a log axis: powers of ten, 1-2-5 of each, or all nine."""
-    steps = {"coarse": (1,), "medium": (1, 2, 5), "fine": tuple(range(1, 10))}
-    if spacing not in steps:
-        raise ValueError(f"spacing is one of {sorted(steps)}")
-    lo, hi = math.floor(math.log10(start)), math.ceil(math.log10(stop))
-    every = [k * 10.0**e for e in range(lo, hi + 1) for k in steps[spacing]]
-    return [x for x in every if start <= x <= stop]
+    """Ticks of the whole decades around [start, stop]: powers of ten (coarse), 1-2-5 of each (medium), or all nine."""
+    steps = {"coarse": (1,), "medium": (1, 2, 5)}.get(spacing, range(1, 10))
+    first, end = math.floor(math.log10(start)), math.ceil(math.log10(stop))
+    decades = range(first, max(end, first + 1))
+    return [float(k * 10.0**e) for e in decades for k in steps] + [10.0**end]

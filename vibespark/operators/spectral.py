@@ -84,8 +84,10 @@ def periodograms(segs: DataFrame, window: str = "hann", detrend: str | None = "c
         kept: dict[int, tuple] = {}
         for b in batches:
             out = []
-            for values, dt in zip(b.column("values").to_pylist(), b.column("dt").to_pylist(), strict=True):
-                x = np.array(values)
+            values = b.column("values")
+            flat, at = values.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False)))
+            for lo, hi, dt in zip(at, at[1:], b.column("dt").to_pylist(), strict=False):
+                x = flat[lo:hi]
                 n = len(x)
                 if n not in kept:
                     w = window_values(window, n)
@@ -208,9 +210,42 @@ def to_octave(spec: DataFrame, fstart: float = 1.0, bins: float = 12.0, agg: str
     return rebinned(spec, lo, hi, c, agg, extra)
 
 
-def aligned_bin_width(fstart: float = 1.0, octave_bins: float = 12.0) -> float:
-    """Width of bins that lets an octave bin at fstart hold five of them at least."""
-    return fstart / int(5 / (2 ** (0.5 / octave_bins) - 2 ** (-0.5 / octave_bins)))
+def aligned_bin_width(fstart: float = 1.0, octave_bins: float = 12.0, least: float = 5.0) -> float:
+    """Width of spectrum bins of which a whole number reaches up to fstart and an octave bin there holds about ``least``.
+
+    An octave bin is 2 sinh(log(2) / (2 octave_bins)) of its centre wide.
+    """
+    bandwidth = 2 * math.sinh(math.log(2) / (2 * octave_bins))
+    return fstart / math.floor(least / bandwidth)
+
+
+def binned_power(spectra: DataFrame, fstart: float, octave: float, agg: str, top: float) -> DataFrame:
+    """Octave bins of periodograms: (series_id, axis, timestamp, freq, df, value), summed or averaged where the arrays
+    are, so that only bins become rows; as to_octave makes them of the exploded spectra."""
+    lo, hi, centres = octave_bins(fstart, octave, top)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        kept: dict[tuple[int, float], tuple] = {}
+        for b in batches:
+            power, out = b.column("power"), []
+            flat, at = power.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(power.value_lengths().to_numpy(zero_copy_only=False)))
+            for k, df in enumerate(b.column("df").to_pylist()):
+                one = flat[at[k] : at[k + 1]]
+                if (len(one), df) not in kept:
+                    f = np.arange(len(one)) * df
+                    place = np.searchsorted(lo, f, "right") - 1
+                    inside = (place >= 0) & ((f < hi[place]) | ((place == len(lo) - 1) & (f <= hi[-1])))
+                    n = np.bincount(place[inside], minlength=len(lo))
+                    kept[len(one), df] = inside, place[inside], n if agg == "mean" else np.ones(len(lo))
+                inside, place, n = kept[len(one), df]
+                out.append(np.bincount(place, weights=one[inside], minlength=len(lo)) / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*KEYS, "t", "df")], pa.array(out, pa.list_(pa.float64()))], [*KEYS, "timestamp", "df", "value"])
+
+    d = spectra.select(*KEYS, "t", "df", "power").mapInArrow(run, "series_id string, axis string, timestamp double, df double, value array<double>")
+    d = d.select(*KEYS, "timestamp", "df", F.posexplode("value").alias("k", "value"))
+    return d.select(*KEYS, "timestamp", F.element_at(F.array(*[F.lit(float(c)) for c in centres]), F.col("k") + 1).alias("freq"), "df", "value")
 
 
 def differentiate(spec: DataFrame, n: float = 1.0) -> DataFrame:
@@ -244,12 +279,17 @@ def spectrogram(sig: DataFrame, num_slices: int = 100, scaling: str | None = Non
     g = d.join(sp.select("series_id", "dt"), "series_id").groupBy(*KEYS, "seg", F.col("np").cast("int").alias("nperseg"), "dt").agg(parts.alias("p"), F.min("t").alias("t0"))
     segs = g.select(*KEYS, "seg", "nperseg", "dt", "t0", F.transform("p", lambda x: x["v"]).alias("values"))
     p = periodograms(segs, window, "constant", "spectrum" if scaling == "spectrum" else "density")
+    if octave and freq_splits is None and agg in ("sum", "mean"):
+        top = shape.join(sp.select("series_id", "dt"), "series_id").agg(F.max(F.floor(F.col("np") / 2) / (F.col("np") * F.col("dt")))).first()[0] or fstart
+        return _over_time(binned_power(p, fstart, octave, agg, top), scaling, None, fstart, agg, None, add_resultant)
     s = p.select(*KEYS, F.col("t").alias("timestamp"), "df", F.posexplode("power").alias("k", "value"))
     s = s.select(*KEYS, "timestamp", (F.col("k") * F.col("df")).alias("freq"), "df", "value")
     return _over_time(s, scaling, octave, fstart, agg, freq_splits, add_resultant)
 
 
 def _over_time(s: DataFrame, scaling, octave, fstart, agg, freq_splits, add_resultant) -> DataFrame:
+    if scaling in (None, "density", "spectrum") and not (octave or freq_splits is not None or add_resultant):
+        return s.select(*KEYS, "freq", "timestamp", "value")  # nothing that df is needed for
     df = s.groupBy("series_id").agg(F.max("df").alias("df"))
     s = s.select(*KEYS, "timestamp", "freq", "value")
     if freq_splits is not None:

@@ -24,7 +24,7 @@ from ..sources.files import write_csv_folder
 ACCEL = {"g": G, "m/s²": 1.0, "m/s^2": 1.0}
 PRESSURE = {"pa": 1e-3, "psi": 6.89476, "atm": 101.325, "kpa": 1.0}
 TEMPERATURE = {"°c": (1.0, 0.0), "c": (1.0, 0.0), "°k": (1.0, -273.15), "k": (1.0, -273.15), "°f": (5 / 9, -160 / 9), "f": (5 / 9, -160 / 9)}
-MICROPHONE = {"pa": 1.0, "a": -5.3075}
+MICROPHONE = {"pa": 1.0, "a": -5.307530522779073}
 
 
 @dataclass(frozen=True)
