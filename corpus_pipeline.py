@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vibespark.llm.common import one_space, spill, text_of
+from vibespark.llm.common import drop_spilled, one_space, spill, text_of
 from vibespark.llm.exact import exact_dedup
 from vibespark.llm.mix import mixed_documents
 from vibespark.llm.near import near_duplicates
@@ -42,6 +42,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     linked = near_duplicates(keyed.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.col("_row"))), id_col="_key")
     # of each group, near_duplicates keeps the least key alone: its other rows and that one are all its members
     others = spill(linked.filter(~F.col("kept")).select(F.col("_key").alias("_row"), "component_id"))
+    drop_spilled(linked)
     members = others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct())
     members = spill(members.join(keyed.select("_row", "doc_id"), "_row"))
     least = members.groupBy("component_id").agg(F.min("doc_id").alias("least"))

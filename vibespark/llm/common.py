@@ -36,9 +36,16 @@ def spill(df: DataFrame) -> DataFrame:
     return out
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df with the tables of spill() that it reads, which drop_spilled(df) deletes."""
+    df._vibespark_tables = tables
+    return df
+
+
 def drop_spilled(*frames: DataFrame) -> None:
-    """Deletes tables of spill() that no result needs any more."""
+    """Deletes tables of spill() that no result needs any more, and those that a result holds."""
     for df in frames:
+        drop_spilled(*getattr(df, "_vibespark_tables", ()))
         if path := getattr(df, "_vibespark_path", None):
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill, text_of, word_count
+from .common import drop_spilled, spill, text_of, word_count
 
 #: Rounds of the index permutations.
 ROUNDS = 12
@@ -158,6 +158,7 @@ def mix_sources(
         permuted(F.pmod("slot", F.col("n")), F.col("n"), F.lit(seed), F.col("place"), epoch).alias("index"),
     )
     at = spill(_running(sized, targets))
+    drop_spilled(sized)
     last = F.floor((F.col("start") + F.col("size") - 1) / length)
     parts = at.filter("size > 0").select("row", "place", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / length), last)).alias("index"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * length) - F.greatest("start", F.col("index") * length)

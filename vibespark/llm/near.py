@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, drop_spilled, flat_bytes, mix64, spill, words
+from .common import arrow_slices, drop_spilled, flat_bytes, holding, mix64, spill, words
 
 #: Bands and minima of a band. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -293,11 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = placed.filter(F.col("members") >= LARGE_BUCKET).select("bucket", "id", "component")
     more = spill(more.unionByName(_cell_links(large, sets, percent)))
     if not more.isEmpty():
+        drop_spilled(found)
         found = components(links.unionByName(more))
+    drop_spilled(entries, degree, reps, sets, links, placed, more)  # what follows reads the others alone
     members = signed.select("id", "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"], "left")
     members = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return holding(out, signed, classes, found)
 
 
 def op9_near(spark, sf_dir: str) -> DataFrame:
