@@ -393,3 +393,46 @@ def test_sql(spark, name):
     cols = [x[0] for x in r.description]
     assert sorted(cols) == sorted(d.columns)
     assert sorted(map(tuple, d.select(*cols).collect())) == sorted(r.fetchall())
+
+
+def test_pipeline_run_equals_brute_force(spark, monkeypatch, tmp_path):
+    """All stages over one folder: exact and near duplicates by brute force on what the classifier keeps; mixing and packing
+    leave no other documents."""
+    import corpus_pipeline as p
+
+    from vibespark.llm.pack import default_tokenizer
+
+    r = random.Random(12)
+    rows, labels = [], []
+    for k in range(160):
+        words = [r.choice(["river", "stone", "walks", "under", "light", "green", "paper", "music"]) + str(r.randrange(60)) for _ in range(60)]
+        if k % 8 == 0:
+            words = ["$$$***"] * 60
+        rows.append((k, " ".join(words), "en", f"s{k % 3}" if k % 7 else None, 0))
+        labels.append((k, int(k % 8 != 0), 0))
+    rows += [(200 + k, rows[k + 1][1].replace(" ", "  "), "en", "s1", 0) for k in range(4)]  # equal
+    rows += [(300 + k, rows[k + 9][1] + " more", "en", "s2", 0) for k in range(4)]  # alike
+    rows += [(None, " ".join(f"n{j}" for j in range(50)), None, None, None), (400, None, None, "s0", None)]
+    rows.append(rows[2])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(x.doc_id, x.text or "") for x in p.quality_classifier(spark, docs, str(tmp_path)).collect()]
+    assert not {k for k, _ in kept if k is not None and k < 160 and k % 8 == 0} and len(kept) >= 140
+    order = sorted(kept, key=lambda x: (x[0] is None, x[0] or 0))
+    exact = {}
+    for k, t in order:
+        exact.setdefault(" ".join(t.split()), (k, t))
+    left = []
+    for k, t in exact.values():
+        w = t.split()
+        own = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        if not any(own and 100 * len(own & x) >= 80 * len(own | x) for _, x in left):
+            left.append((k, own))
+    found = p.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in found} <= {k for k, _ in left} and len({x.doc_id for x in found}) >= 0.8 * len(left)
+    fill = Counter()
+    for x in found:
+        fill[x.sequence_id] += x.length
+    assert max(fill.values()) <= 2048 and default_tokenizer()
