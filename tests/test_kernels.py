@@ -145,6 +145,7 @@ def test_measurement_types():
     acc, gps = catalog.REGISTRY["acc"], catalog.REGISTRY["loc"]
     assert catalog.split_types(acc + gps) == ({"acc", "loc"}, set()) and catalog.split_types(acc | gps) == ({"acc", "loc"}, set())
     assert catalog.split_types("acceleration -GPS") == ({"acc"}, {"loc"}) and catalog.split_types(-acc) == (set(), {"acc"})
+    assert catalog.split_types("acceleration - GPS + pressure") == ({"acc", "pre"}, {"loc"})
     assert catalog.split_types("*")[0] == set(catalog.REGISTRY) and acc == "acc"
     with pytest.raises(TypeError):
         catalog.split_types("xyz")

@@ -442,16 +442,6 @@ def peak_frequency_over_time(spark, sf):
     return spectral.spectrum_over_time(d, "peak").select("series_id", R6("timestamp").alias("timestamp"), "freq")
 
 
-@query()
-def rolling_psd(spark, sf):
-    return spectral.rolling_psd(_packed(spark, sf), 4.0, 4, slice_width=0.5, octave=3.0)
-
-
-@query()
-def rolling_fft(spark, sf):
-    return spectral.rolling_fft(_packed(spark, sf), 4.0, 4)
-
-
 # ---- shock -------------------------------------------------------------------------------------------------------
 
 _F = [2.0, 5.0, 11.0]
@@ -474,16 +464,6 @@ def response_extremes(spark, sf):
     return shock.response_extremes(_packed(spark, sf), _F, 0.05).select("series_id", "freq", R6("lo").alias("lo"), R6("hi").alias("hi"))
 
 
-@query()
-def srs(spark, sf):
-    return shock.shock_spectrum(_packed(spark, sf), None, 1.0, 3.0)
-
-
-@query()
-def pvss_two_sided(spark, sf):
-    return shock.shock_spectrum(_packed(spark, sf), _F, mode="pvss", two_sided=True)
-
-
 @query(f"WITH {SPEC} SELECT series_id, round(2 * pi() * max(freq * value), 2) AS amplitude, round(max(value) / (4 * max(freq * value)), 9) AS duration FROM spec GROUP BY 1")
 def halfsine_envelope(spark, sf):
     return shock.enveloping_half_sine(_spec(spark, sf)).select("series_id", R6("amplitude", 2).alias("amplitude"), R6("duration", 9).alias("duration"))
@@ -532,13 +512,6 @@ def quaternion_to_euler(spark, sf):
     return d.select("l_orderkey", "l_linenumber", R6(x).alias("x"), R6(y).alias("y"), R6(z).alias("z"))
 
 
-@query()
-def quat_to_angvel(spark, sf):
-    d = _tri(spark, sf).groupBy("series_id", "i").pivot("axis", ["l_quantity", "l_discount"]).agg(F.first("v"))
-    q = d.select("series_id", "i", qn.quat("l_quantity", "l_discount", F.lit(0.5), F.lit(0.25)).alias("q"))
-    return qn.angular_velocity(q, dt=0.01).select("series_id", "i", "wx", "wy", "wz")
-
-
 @query("SELECT c_custkey, round(c_acctbal * 1.8 + 32, 6) AS degf, round(c_acctbal * 25.4, 6) AS mm FROM customer")
 def unit_convert(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", R6(convert_units("c_acctbal", "degC", "degF")).alias("degf"), R6(convert_units("c_acctbal", "in", "mm")).alias("mm"))
@@ -646,11 +619,6 @@ def correlation_matrix(spark, sf):
     return multivariate.correlations(_t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")).withColumn("corr", R6("corr"))
 
 
-@query()
-def pca_2d(spark, sf):
-    return multivariate.pca(_t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), skip=("p_partkey",))
-
-
 # ---- streams (the same plans, over tables) -----------------------------------------------------------------------
 
 
@@ -685,16 +653,6 @@ def batch_metrics(spark, sf):
     return b.aggregate(_recordings(spark, sf))["metrics"].select("series_id", "calculation", "axis", R6("value", 3).alias("value"))
 
 
-@query()
-def batch_psd(spark, sf):
-    return batch.Builder(batch.Params(highpass=None)).add_psd(1.0, 1.0, 3.0).aggregate(_recordings(spark, sf))["psd"]
-
-
-@query()
-def batch_peaks(spark, sf):
-    return batch.Builder(batch.Params(highpass=None)).add_peaks(10).aggregate(_recordings(spark, sf))["peaks"]
-
-
 @query("SELECT p_partkey, round(p_retailprice, 1) AS p_retailprice FROM part")
 def rounded_table(spark, sf):
     return views.rounded_table(_t(spark, sf, "part").select("p_partkey", "p_retailprice"), 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,9 +80,11 @@ KEYS = {k: n.lower()[:3] for n, keys, _ in TYPES for k in (n.lower()[:3], *keys)
 
 
 def split_types(query) -> tuple[set[str], set[str]]:
-    """Keys that a query includes and excludes; words count by their first three letters; * includes all."""
+    """Keys that a query includes and excludes; words count by their first three letters; * includes all.
+
+    A minus sign, next to its word or apart from it, excludes that word."""
     include, exclude = set(), set()
-    for word in str(query).replace("+", " ").replace("|", " ").replace("-", " -").split():
+    for word in re.sub(r"-\s*", " -", re.sub(r"[+|]", " ", str(query))).split():
         away = word.startswith("-")
         low = word.lstrip("-").lower()
         key = low[:3]
