@@ -166,6 +166,16 @@ def _common(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _joined(rows: DataFrame, totals: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows joined to totals, an aggregate with one row per keys, where one key may hold a large part of rows.
+
+    The hash beside the keys makes the planner shuffle totals once more after its aggregation. Both sides of the join are
+    then plain shuffles, which adaptive execution splits where a key is hot; above an aggregate it would not.
+    """
+    by = F.xxhash64(*keys).alias("_by")
+    return rows.select("*", by).join(totals.select("*", by), [*keys, "_by"], how).drop("_by")
+
+
 def _cell_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between members of different components in one bucket, for buckets of any size.
 
@@ -175,14 +185,14 @@ def _cell_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     is moved grows with blocks, not with pairs, and only links leave it: for each member, one to each other component.
     """
     big = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
-    home = placed.join(big, "bucket").groupBy("id", "component").agg(F.max(F.struct("in_bucket", "bucket")).alias("h"))
+    home = _joined(placed, big, "bucket").groupBy("id", "component").agg(F.max(F.struct("in_bucket", "bucket")).alias("h"))
     home = home.select("id", "component", F.col("h.bucket").alias("home"))
     sizes = home.groupBy("home", "component").agg(F.count(F.lit(1)).alias("n"))
-    home = home.join(sizes, ["home", "component"])
+    home = _joined(home, sizes, "home", "component")
     kind = F.when(F.col("n") >= BLOCK // 4, F.col("component")).otherwise(-1)
     home = home.select("id", "component", "home", kind.alias("kind"))
     parts = home.groupBy("home", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    home = home.join(parts, ["home", "kind"])
+    home = _joined(home, parts, "home", "kind")
     block = F.xxhash64("home", "kind", F.pmod(F.xxhash64("id"), F.col("parts")))
     home = spill(home.select("id", "component", block.alias("block"), (F.col("kind") != -1).alias("single")))
     in_bucket = placed.select("bucket", "id").join(home, "id").select("bucket", "block", "single", F.when(F.col("single"), F.col("component")).alias("of")).distinct()
@@ -232,9 +242,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _joined(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(least, "a")
+        tied = _joined(large, least, "a")
         new = tied.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = spill(new.select("e.a", "e.b").filter("a <> b").distinct())
         after = state(new)
@@ -270,14 +280,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = valid.join(classes.select(F.col("rep").alias("id"), "n", "fp1", "fp2"), ["id", "n", "fp1", "fp2"], "left_semi")
     entries = reps.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    entries = spill(entries.join(shared, "bucket"))
+    entries = spill(_joined(entries, shared, "bucket"))
     degree = spill(entries.groupBy("id").agg(F.sum(F.col("members") - 1).alias("degree")))
     reps = spill(reps.join(degree, "id").select("id", "n", "minima"))
     sets = spill(full_sets(rows.join(degree.select("id"), "id", "left_semi"), width, lower))
 
     ranked = entries.join(degree, "id")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("no"))).alias("p")).select("bucket", (-F.col("p.no")).alias("b"))
-    pairs = entries.join(pivots, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = _joined(entries, pivots, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     alike = _alike(pairs, reps, percent)
     best = alike.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("no"))).alias("x")).select("a", (-F.col("x.no")).alias("b"))
     links = spill(_confirmed(best, sets, percent))
@@ -285,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    placed = spill(placed.join(mixed, "bucket", "left_semi"))
+    placed = spill(_joined(placed, mixed, "bucket", how="left_semi"))
     small = placed.filter(F.col("members") < LARGE_BUCKET)
     other = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("other"))
     rest = small.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").filter("component < other").select("a", "b").distinct()
