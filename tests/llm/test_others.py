@@ -107,6 +107,59 @@ def test_ratio_follows_the_data():
         assert np.mean([read[i][near[np.argpartition(dq[i], 9)[:10]]].mean() for i in range(len(q))]) >= 0.85
 
 
+def test_queries_that_read_many_lists(spark, monkeypatch):
+    """Without structure a query reads most lists; it goes to a bin of lists once, and rows split by id or query miss nothing."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made, spill = [], ann.spill
+    monkeypatch.setattr(ann, "spill", lambda df: made.append(spill(df)) or made[-1])
+    o = ann.IndexOptions(rows_per_list=3, split_rows=9, split_queries=4, probe_ratio=10.0)
+    got = sorted(ann.nearest(d, d.filter("vec_id % 100 = 0"), options=o).collect())
+    bins = -(-1000 // 4)  # 256 bins at most
+    assert made[1].count() <= 30 * bins
+    want = []
+    for q in range(0, 3000, 100):
+        dist = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(-1))
+        dist[q] = np.inf
+        want += [(q, r + 1, int(v), float(dist[v])) for r, v in enumerate(np.argsort(dist)[:10])]
+    assert [tuple(r)[:3] for r in got] == [w[:3] for w in want] and [r.score for r in got] == [w[3] for w in want]
+
+
+def test_batches_of_probes_stay_small():
+    """The vectors of a batch are bounded however many lists the queries read."""
+    import pyarrow as pa
+
+    part = pa.record_batch({"id": np.arange(500), "vec": pa.FixedSizeListArray.from_arrays(np.zeros(500 * 64), 64).cast(pa.list_(pa.float64()))})
+    counts = np.full(4000, 5)
+    counts[7], counts[8] = 0, 25
+    out = list(ann.listed(part, [np.arange(4000)[::-1]] * 500, counts, 10, 20, 64))
+    assert max(b.column("vec").nbytes for b in out) <= 1.2 * ann.BATCH_BYTES
+    rows = [r for b in out for r in b.drop_columns("vec").to_pylist()]
+    assert [(r["id"], r["bin"]) for r in rows] == [(i, b) for i in range(500) for b in range(200)]
+    assert rows[200] == {"id": 1, "bin": 0, "lists": [k for k in range(20) if k != 7], "parts": 3} and rows[201]["parts"] == 1
+
+
+def test_compared_equals_brute_force():
+    """Ties, repeated ids, coinciding vectors and large offsets, over several lists."""
+    rng = np.random.default_rng(6)
+    for shift in (0.0, 1e6):
+        x = rng.integers(0, 3, (5000, 4)).astype(float) + shift
+        ids, lists = rng.permutation(np.repeat(np.arange(2500), 2)), rng.integers(0, 3, 5000)
+        ids[lists == 0] = np.arange((lists == 0).sum()) + 3000
+        q, q_ids = x[:300], ids[:300]
+        pairs = [(one, k) for k in range(300) for one in range(4) if (k + one) % 3]
+        found = list(zip(*(c.tolist() for c in ann.compared(x, ids, lists, q, q_ids, *np.array(pairs).T, 10)), strict=True))
+        want = []
+        for k in range(300):
+            mine = np.flatnonzero(np.isin(lists, [one for one, who in pairs if who == k]) & (ids != q_ids[k]))
+            near = {}
+            for v, dist in zip(ids[mine].tolist(), np.sqrt(((x[mine] - q[k]) ** 2).sum(-1)).tolist(), strict=True):
+                near[v] = min(dist, near.get(v, np.inf))
+            want += [(int(q_ids[k]), v, dist) for dist, v in sorted((dist, v) for v, dist in near.items())[:10]]
+        assert found == want
+
+
 # ---- personal data
 
 FORMS = {
