@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEYS, spacing
+from ..model import KEYS, in_order, known, spacing
 from .windows import slice_centres, sliced
 
 SCALINGS = ("density", "spectrum", "parseval", "unit", "rms")
@@ -59,57 +59,139 @@ def next_fast_len(n: int, real: bool = True) -> int:
         n += 1
 
 
-def segments(sig: DataFrame, nperseg: int | None = None, step: int | None = None, bin_width: float | None = None, overlap: float = 0.5) -> DataFrame:
-    """Whole segments as arrays: (series_id, axis, seg, nperseg, dt, t0, values). Length by rows, or by bin width per series."""
+#: Samples that the segments of one block begin in; a block's spectra are made by one call.
+BLOCK = 1 << 15
+
+
+def _shape(sig: DataFrame, nperseg: int | None = None, step: int | None = None, bin_width: float | None = None, overlap: float = 0.5) -> DataFrame:
+    """Length and hop of the segments of series with a spacing: the length by rows, or by bin width per series."""
     sp = spacing(sig).filter("dt > 0")
     n = F.lit(nperseg) if nperseg else F.floor(F.round(1 / F.col("dt") / bin_width, 9))
     sp = sp.withColumn("nperseg", F.least(F.greatest(n, F.lit(1)), F.col("n")).cast("int"))
     hop = F.lit(step) if step else F.greatest(F.col("nperseg") - F.floor(F.col("nperseg") * overlap), F.lit(1))
-    sp = sp.withColumn("_hop", hop.cast("long"))
-    d = sig.join(sp, "series_id")
-    first = F.greatest(F.ceil((F.col("i") - F.col("nperseg") + 1) / F.col("_hop")), F.lit(0))
-    last = F.least(F.floor(F.col("i") / F.col("_hop")), F.floor((F.col("n") - F.col("nperseg")) / F.col("_hop")))
-    d = d.filter(first <= last).withColumn("seg", F.explode(F.sequence(first, last)))
-    parts = F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0.0)).alias("v"))))
-    g = d.groupBy(*KEYS, "seg", "nperseg", "dt").agg(parts.alias("p"), F.min("t").alias("t0"))
-    return g.select(*KEYS, "seg", "nperseg", "dt", "t0", F.transform("p", lambda x: x["v"]).alias("values"))
+    return sp.withColumn("hop", hop.cast("long"))
+
+
+def _axes(sig: DataFrame, shape: DataFrame) -> DataFrame:
+    """shape by axis, each with a number that stands for it where its rows are moved."""
+    return known(sig.select(*KEYS).distinct().join(shape, "series_id").withColumn("_g", F.monotonically_increasing_id()))
+
+
+def _blocks(sig: DataFrame, axes: DataFrame) -> DataFrame:
+    """Rows of whole segments with the block of segments they are in; the ends of blocks are in two."""
+    d = sig.join(axes, list(KEYS))
+    first = F.greatest(F.ceil((F.col("i") - F.col("nperseg") + 1) / F.col("hop")), F.lit(0))
+    last = F.least(F.floor(F.col("i") / F.col("hop")), F.floor((F.col("n") - F.col("nperseg")) / F.col("hop")))
+    per = F.greatest(F.floor(F.lit(BLOCK) / F.col("hop")), F.lit(1))
+    d = d.filter(first <= last).withColumn("_b", F.explode(F.sequence(F.floor(first / per), F.floor(last / per))))
+    return d.select("_g", "_b", "i", "t", F.coalesce("v", F.lit(0.0)).alias("v"), "nperseg", "hop")
+
+
+def _spectra(x: np.ndarray, dt: float, window: str, detrend: str | None, scaling: str) -> np.ndarray:
+    """One-sided periodograms of rows of samples."""
+    n = x.shape[1]
+    w = window_values(window, n)
+    twice = np.full(n // 2 + 1, 2.0)
+    twice[0] = 1
+    if n % 2 == 0:
+        twice[-1] = 1
+    if detrend == "linear" and n > 1:
+        k = np.arange(n)
+        slope, level = np.polyfit(k, x.T, 1)
+        x = x - slope[:, None] * k - level[:, None]
+    elif detrend in ("constant", "linear"):
+        x = x - x.mean(axis=1, keepdims=True)
+    return np.abs(np.fft.rfft(x * w, axis=1)) ** 2 * twice * (dt / (w * w).sum() if scaling == "density" else 1 / w.sum() ** 2)
+
+
+def _each_block(table, starts, window: str, detrend: str | None, scaling: str) -> Iterator[tuple]:
+    """(rows of first samples, nperseg, hop, power by block, segment and bin) for runs of blocks of one shape; dt as 1."""
+    v = table.column("v").to_numpy()
+    at = np.asarray(starts)
+    n, hop = (table.column(c).to_numpy()[at[:-1]] for c in ("nperseg", "hop"))
+    kinds, of = np.unique(np.stack([np.diff(at), n, hop], axis=1), axis=0, return_inverse=True)
+    for k, (length, m, h) in enumerate(kinds.tolist()):
+        m = min(m, length)
+        mine = at[:-1][of.ravel() == k]
+        some = max((1 << 20) // length, 1)
+        for lo in range(0, len(mine), some):
+            part = mine[lo : lo + some]
+            x = v[part[0] : part[0] + length][None] if len(part) == 1 else v[part[:, None] + np.arange(length)]
+            x = np.lib.stride_tricks.sliding_window_view(x, m, axis=1)[:, ::h]
+            step = max((1 << 20) // (m * len(part)), 1)
+            made = [_spectra(x[:, j : j + step].reshape(-1, m), 1.0, window, detrend, scaling).reshape(len(part), -1, m // 2 + 1) for j in range(0, x.shape[1], step)]
+            yield part, m, h, np.concatenate(made, axis=1)
+
+
+def _lists(values: np.ndarray, size: int):
+    """An Arrow array of lists of one size."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // size + 1) * size, pa.int32()), pa.array(values))
+
+
+def periodograms(sig: DataFrame, shape: DataFrame, window: str = "hann", detrend: str | None = "constant", scaling: str = "density") -> DataFrame:
+    """One-sided periodogram of each segment: (series_id, axis, seg, t, df, power array)."""
 
+    def run(table, starts):
+        import pyarrow as pa
 
-def periodograms(segs: DataFrame, window: str = "hann", detrend: str | None = "constant", scaling: str = "density") -> DataFrame:
-    """One-sided periodogram of each segment: (series_id, axis, seg, t, df, power array)."""
+        out = []
+        g, i, t = (table.column(c).to_numpy() for c in ("_g", "i", "t"))
+        for rows, _, hop, p in _each_block(table, starts, window, detrend, scaling):
+            at = (rows[:, None] + hop * np.arange(p.shape[1])).ravel()
+            out.append(pa.table([pa.array(g[at]), pa.array(i[at] // hop), pa.array(t[at]), _lists(p.ravel(), p.shape[2])], names=["_g", "seg", "t0", "p"]))
+        return pa.concat_tables(out)
 
-    def run(batches) -> Iterator:
+    axes = _axes(sig, shape)
+    d = in_order(_blocks(sig, axes), ["_g", "_b"], ["i"], run, "_g long, seg long, t0 double, p array<double>").join(axes, "_g")
+    power = F.transform("p", lambda x: x * F.col("dt")) if scaling == "density" else F.col("p")
+    return d.select(*KEYS, "seg", (F.col("t0") + F.col("nperseg") * F.col("dt") / 2).alias("t"), (1 / (F.col("nperseg") * F.col("dt"))).alias("df"), power.alias("power"))
+
+
+def _averages(rows: DataFrame, window: str, detrend: str | None, scaling: str) -> DataFrame:
+    """Mean over the segments: (_g, k, value), added up block by block."""
+
+    def run(table, starts):
         import pyarrow as pa
 
-        kept: dict[int, tuple] = {}
-        for b in batches:
-            out = []
-            values = b.column("values")
-            flat, at = values.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False)))
-            for lo, hi, dt in zip(at, at[1:], b.column("dt").to_pylist(), strict=False):
-                x = flat[lo:hi]
-                n = len(x)
-                if n not in kept:
-                    w = window_values(window, n)
-                    twice = np.full(n // 2 + 1, 2.0)
-                    twice[0] = 1
-                    if n % 2 == 0:
-                        twice[-1] = 1
-                    kept[n] = w, twice
-                w, twice = kept[n]
-                if detrend == "constant":
-                    x = x - x.mean()
-                elif detrend == "linear":
-                    k = np.arange(n)
-                    x = x - np.polyval(np.polyfit(k, x, 1), k) if n > 1 else x - x.mean()
-                p = np.abs(np.fft.rfft(x * w)) ** 2 * twice
-                out.append(p * (dt / (w * w).sum() if scaling == "density" else 1 / w.sum() ** 2))
-            keep = [b.column(c) for c in (*KEYS, "seg", "t0", "dt", "nperseg")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.float64()))], [*KEYS, "seg", "t0", "dt", "nperseg", "power"])
-
-    d = segs.mapInArrow(run, "series_id string, axis string, seg long, t0 double, dt double, nperseg int, power array<double>")
-    mid = F.col("t0") + F.col("nperseg") * F.col("dt") / 2
-    return d.select(*KEYS, "seg", mid.alias("t"), (1 / (F.col("nperseg") * F.col("dt"))).alias("df"), "power")
+        out = []
+        g = table.column("_g").to_numpy()
+        for rows, _, _, p in _each_block(table, starts, window, detrend, scaling):
+            out.append(pa.table([pa.array(g[rows]), pa.array(np.full(len(rows), p.shape[1])), _lists(p.sum(axis=1).ravel(), p.shape[2])], names=["_g", "_n", "p"]))
+        return pa.concat_tables(out)
+
+    d = in_order(rows.drop("t"), ["_g", "_b"], ["i"], run, "_g long, _n long, p array<double>")
+    return d.select("_g", "_n", F.posexplode("p").alias("k", "p")).groupBy("_g", "k").agg((F.sum("p") / F.sum("_n")).alias("value"))
+
+
+def _medians(rows: DataFrame, window: str, detrend: str | None, scaling: str) -> DataFrame:
+    """Median over the segments less its bias: (_g, k, value).
+
+    A block gives the values of each bin as one array; a bin's arrays, 8 bytes a segment, meet in one task.
+    """
+
+    def run(table, starts):
+        import pyarrow as pa
+
+        out = []
+        g = table.column("_g").to_numpy()
+        for rows, _, _, p in _each_block(table, starts, window, detrend, scaling):
+            bins = p.shape[2]
+            values = _lists(np.ascontiguousarray(p.transpose(0, 2, 1)).ravel(), p.shape[1])
+            out.append(pa.table([pa.array(np.repeat(g[rows], bins)), pa.array(np.tile(np.arange(bins, dtype=np.int32), len(rows))), values], names=["_g", "k", "p"]))
+        return pa.concat_tables(out)
+
+    def middle(table, starts):
+        import pyarrow as pa
+
+        p = table.column("p").combine_chunks()
+        flat, at = p.flatten().to_numpy(), np.append(0, np.cumsum(p.value_lengths().to_numpy()))[np.asarray(starts)]
+        value = [np.median(flat[lo:hi]) / (median_bias(hi - lo) if hi - lo > 2 else 1.0) for lo, hi in zip(at, at[1:], strict=False)]
+        return table.select(["_g", "k"]).take(pa.array(starts[:-1])).append_column("value", pa.array(value, pa.float64()))
+
+    d = in_order(rows.drop("t"), ["_g", "_b"], ["i"], run, "_g long, k int, p array<double>")
+    return in_order(d, ["_g", "k"], [], middle, "_g long, k int, value double")
 
 
 def _scaled(value: Column, df: Column, scaling: str | None) -> Column:
@@ -130,16 +212,12 @@ def welch(sig: DataFrame, bin_width: float | None = 1.0, scaling: str | None = N
     """
     if scaling not in (None, *SCALINGS):
         raise ValueError(f"scaling is one of {SCALINGS}")
-    segs = segments(sig, nperseg, None, bin_width, overlap)
-    p = periodograms(segs, window, detrend, "spectrum" if scaling == "spectrum" else "density")
-    d = p.select(*KEYS, "seg", "df", F.posexplode("power").alias("k", "p"))
-    if average == "median":
-        g = d.groupBy(*KEYS, "k", "df").agg(F.percentile("p", F.lit(0.5)).alias("value"), F.count(F.lit(1)).alias("_n"))
-        ns = F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.col("_n") - 1) / 2), F.lit(1))), lambda k: 1 / (2 * k + 1.0) - 1 / (2 * k.cast("double")))
-        bias = F.when(F.col("_n") < 3, 1.0).otherwise(1 + F.aggregate(ns, F.lit(0.0), lambda a, x: a + x))
-        g = g.withColumn("value", F.col("value") / bias)
-    else:
-        g = d.groupBy(*KEYS, "k", "df").agg(F.avg("p").alias("value"))
+    axes = _axes(sig, _shape(sig, nperseg, None, bin_width, overlap))
+    made = _medians if average == "median" else _averages
+    g = made(_blocks(sig, axes), window, detrend, "spectrum" if scaling == "spectrum" else "density").join(axes, "_g")
+    g = g.withColumn("df", 1 / (F.col("nperseg") * F.col("dt")))
+    if scaling != "spectrum":
+        g = g.withColumn("value", F.col("value") * F.col("dt"))
     return g.select(*KEYS, (F.col("k") * F.col("df")).alias("freq"), _scaled(F.col("value"), F.col("df"), scaling).alias("value"))
 
 
@@ -270,17 +348,10 @@ def spectrogram(sig: DataFrame, num_slices: int = 100, scaling: str | None = Non
     sp = spacing(sig).filter("dt > 0")
     n = F.least(F.greatest(F.floor(F.round(1 / F.col("dt") / bin_width, 9)), F.lit(1)), F.col("n"))
     hop = F.greatest(F.floor((F.col("n") - n) / max(num_slices - 1, 1)), F.lit(1))
-    shape = sp.select("series_id", "n", n.alias("np"), hop.alias("hop"))
-    d = sig.join(shape, "series_id")
-    first = F.greatest(F.ceil((F.col("i") - F.col("np") + 1) / F.col("hop")), F.lit(0))
-    last = F.least(F.floor(F.col("i") / F.col("hop")), F.floor((F.col("n") - F.col("np")) / F.col("hop")))
-    d = d.filter(first <= last).withColumn("seg", F.explode(F.sequence(first, last)))
-    parts = F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0.0)).alias("v"))))
-    g = d.join(sp.select("series_id", "dt"), "series_id").groupBy(*KEYS, "seg", F.col("np").cast("int").alias("nperseg"), "dt").agg(parts.alias("p"), F.min("t").alias("t0"))
-    segs = g.select(*KEYS, "seg", "nperseg", "dt", "t0", F.transform("p", lambda x: x["v"]).alias("values"))
-    p = periodograms(segs, window, "constant", "spectrum" if scaling == "spectrum" else "density")
+    shape = sp.select("series_id", "n", "dt", n.cast("int").alias("nperseg"), hop.cast("long").alias("hop"))
+    p = periodograms(sig, shape, window, "constant", "spectrum" if scaling == "spectrum" else "density")
     if octave and freq_splits is None and agg in ("sum", "mean"):
-        top = shape.join(sp.select("series_id", "dt"), "series_id").agg(F.max(F.floor(F.col("np") / 2) / (F.col("np") * F.col("dt")))).first()[0] or fstart
+        top = shape.agg(F.max(F.floor(F.col("nperseg") / 2) / (F.col("nperseg") * F.col("dt")))).first()[0] or fstart
         return _over_time(binned_power(p, fstart, octave, agg, top), scaling, None, fstart, agg, None, add_resultant)
     s = p.select(*KEYS, F.col("t").alias("timestamp"), "df", F.posexplode("power").alias("k", "value"))
     s = s.select(*KEYS, "timestamp", (F.col("k") * F.col("df")).alias("freq"), "df", "value")

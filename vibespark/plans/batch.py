@@ -145,7 +145,8 @@ class Channels:
 
     @cached_property
     def psd(self) -> DataFrame:
-        return welch(self.acceleration, self.params.bin_width, None, self.params.window, "median")
+        # a row per bin, which the resultant, the octaves and the curves read many times
+        return welch(self.acceleration, self.params.bin_width, None, self.params.window, "median").localCheckpoint()
 
     @cached_property
     def pvss(self) -> DataFrame:
