@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEYS, in_order, known, spacing
+from ..model import KEYS, axes_of, in_order, spacing
 from .windows import slice_centres, sliced
 
 SCALINGS = ("density", "spectrum", "parseval", "unit", "rms")
@@ -63,18 +63,11 @@ def next_fast_len(n: int, real: bool = True) -> int:
 BLOCK = 1 << 15
 
 
-def _shape(sig: DataFrame, nperseg: int | None = None, step: int | None = None, bin_width: float | None = None, overlap: float = 0.5) -> DataFrame:
-    """Length and hop of the segments of series with a spacing: the length by rows, or by bin width per series."""
-    sp = spacing(sig).filter("dt > 0")
+def _shaped(axes: DataFrame, nperseg: int | None = None, bin_width: float | None = None, overlap: float = 0.5) -> DataFrame:
+    """Axes with a spacing, and length and hop of their segments: the length by rows, or by bin width per series."""
     n = F.lit(nperseg) if nperseg else F.floor(F.round(1 / F.col("dt") / bin_width, 9))
-    sp = sp.withColumn("nperseg", F.least(F.greatest(n, F.lit(1)), F.col("n")).cast("int"))
-    hop = F.lit(step) if step else F.greatest(F.col("nperseg") - F.floor(F.col("nperseg") * overlap), F.lit(1))
-    return sp.withColumn("hop", hop.cast("long"))
-
-
-def _axes(sig: DataFrame, shape: DataFrame) -> DataFrame:
-    """shape by axis, each with a number that stands for it where its rows are moved."""
-    return known(sig.select(*KEYS).distinct().join(shape, "series_id").withColumn("_g", F.monotonically_increasing_id()))
+    d = axes.filter("dt > 0").withColumn("nperseg", F.least(F.greatest(n, F.lit(1)), F.col("n")).cast("int"))
+    return d.withColumn("hop", F.greatest(F.col("nperseg") - F.floor(F.col("nperseg") * overlap), F.lit(1)).cast("long"))
 
 
 def _blocks(sig: DataFrame, axes: DataFrame) -> DataFrame:
@@ -130,7 +123,7 @@ def _lists(values: np.ndarray, size: int):
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // size + 1) * size, pa.int32()), pa.array(values))
 
 
-def periodograms(sig: DataFrame, shape: DataFrame, window: str = "hann", detrend: str | None = "constant", scaling: str = "density") -> DataFrame:
+def periodograms(sig: DataFrame, axes: DataFrame, window: str = "hann", detrend: str | None = "constant", scaling: str = "density") -> DataFrame:
     """One-sided periodogram of each segment: (series_id, axis, seg, t, df, power array)."""
 
     def run(table, starts):
@@ -143,7 +136,6 @@ def periodograms(sig: DataFrame, shape: DataFrame, window: str = "hann", detrend
             out.append(pa.table([pa.array(g[at]), pa.array(i[at] // hop), pa.array(t[at]), _lists(p.ravel(), p.shape[2])], names=["_g", "seg", "t0", "p"]))
         return pa.concat_tables(out)
 
-    axes = _axes(sig, shape)
     d = in_order(_blocks(sig, axes), ["_g", "_b"], ["i"], run, "_g long, seg long, t0 double, p array<double>").join(axes, "_g")
     power = F.transform("p", lambda x: x * F.col("dt")) if scaling == "density" else F.col("p")
     return d.select(*KEYS, "seg", (F.col("t0") + F.col("nperseg") * F.col("dt") / 2).alias("t"), (1 / (F.col("nperseg") * F.col("dt"))).alias("df"), power.alias("power"))
@@ -204,15 +196,15 @@ def _scaled(value: Column, df: Column, scaling: str | None) -> Column:
     return value
 
 
-def welch(sig: DataFrame, bin_width: float | None = 1.0, scaling: str | None = None, window: str = "hann", average: str = "mean", nperseg: int | None = None, overlap: float = 0.5, detrend: str | None = "constant") -> DataFrame:
+def welch(sig: DataFrame, bin_width: float | None = 1.0, scaling: str | None = None, window: str = "hann", average: str = "mean", nperseg: int | None = None, overlap: float = 0.5, detrend: str | None = "constant", sp: DataFrame | None = None) -> DataFrame:
     """Welch's periodogram: (series_id, axis, freq, value).
 
     scaling: density (default), spectrum, parseval (times the bin width, sums to the mean square), unit (amplitude of
-    a sine) or rms. average: mean, or median over segments less its bias.
+    a sine) or rms. average: mean, or median over segments less its bias. sp: (series_id, axis, n, dt), if known.
     """
     if scaling not in (None, *SCALINGS):
         raise ValueError(f"scaling is one of {SCALINGS}")
-    axes = _axes(sig, _shape(sig, nperseg, None, bin_width, overlap))
+    axes = _shaped(axes_of(sig) if sp is None else sp, nperseg, bin_width, overlap)
     made = _medians if average == "median" else _averages
     g = made(_blocks(sig, axes), window, detrend, "spectrum" if scaling == "spectrum" else "density").join(axes, "_g")
     g = g.withColumn("df", 1 / (F.col("nperseg") * F.col("dt")))
@@ -345,10 +337,10 @@ def vc_curves(psd: DataFrame, fstart: float = 1.0, bins: float = 12.0) -> DataFr
 
 def spectrogram(sig: DataFrame, num_slices: int = 100, scaling: str | None = None, bin_width: float = 1.0, octave: float | None = None, fstart: float = 1.0, agg: str = "mean", freq_splits: Sequence[float] | None = None, add_resultant: bool = True, window: str = "boxcar") -> DataFrame:
     """(series_id, axis, freq, timestamp, value): spectra of segments whose hop makes about num_slices of them."""
-    sp = spacing(sig).filter("dt > 0")
+    sp = axes_of(sig).filter("dt > 0")
     n = F.least(F.greatest(F.floor(F.round(1 / F.col("dt") / bin_width, 9)), F.lit(1)), F.col("n"))
     hop = F.greatest(F.floor((F.col("n") - n) / max(num_slices - 1, 1)), F.lit(1))
-    shape = sp.select("series_id", "n", "dt", n.cast("int").alias("nperseg"), hop.cast("long").alias("hop"))
+    shape = sp.select("*", n.cast("int").alias("nperseg"), hop.cast("long").alias("hop"))
     p = periodograms(sig, shape, window, "constant", "spectrum" if scaling == "spectrum" else "density")
     if octave and freq_splits is None and agg in ("sum", "mean"):
         top = shape.agg(F.max(F.floor(F.col("nperseg") / 2) / (F.col("nperseg") * F.col("dt")))).first()[0] or fstart
@@ -377,22 +369,21 @@ def rolling_psd(sig: DataFrame, bin_width: float = 1.0, num_slices: int = 100, i
     """Spectra over time: by the one-pass spectrogram, or for stated slices, each by Welch."""
     if indexes is None and values is None and slice_width is None:
         return spectrogram(sig, num_slices, scaling, bin_width, octave, fstart, agg, freq_splits, add_resultant, window)
-    d = sliced(sig, slice_centres(sig, num_slices, indexes, values, slice_width))
-    keyed = _as_series(d)
-    s = welch(keyed, bin_width, "spectrum" if scaling == "spectrum" else None, window)
+    keyed = _as_series(sig, slice_centres(sig, num_slices, indexes, values, slice_width))
+    s = welch(keyed, bin_width, "spectrum" if scaling == "spectrum" else None, window).localCheckpoint()
     df = s.groupBy("series_id").agg(F.min(F.when(F.col("freq") > 0, F.col("freq"))).alias("df"))
-    s = _from_series(s.join(df, "series_id"), d)
+    s = _from_series(s.join(df, "series_id"))
     return _over_time(s, scaling, octave, fstart, agg, freq_splits, add_resultant)
 
 
-def _as_series(d: DataFrame) -> DataFrame:
+def _as_series(sig: DataFrame, centres: DataFrame) -> DataFrame:
     """Slices as series of their own: the slice number joins the series id, rows are counted anew."""
-    lo = d.groupBy("series_id", "slice").agg(F.min("i").alias("_lo"))
-    d = d.join(lo, ["series_id", "slice"])
-    return d.select(F.to_json(F.struct("series_id", "slice", "slice_t")).alias("series_id"), "axis", (F.col("i") - F.col("_lo")).alias("i"), "t", "v")
+    c = centres.withColumn("_key", F.to_json(F.struct("series_id", "slice", "slice_t")))
+    d = sliced(sig, c, extra=("_key", "_lo"))
+    return d.select(F.col("_key").alias("series_id"), "axis", (F.col("i") - F.col("_lo")).alias("i"), "t", "v")
 
 
-def _from_series(s: DataFrame, d: DataFrame) -> DataFrame:
+def _from_series(s: DataFrame) -> DataFrame:
     key = F.from_json("series_id", "series_id string, slice long, slice_t double")
     return s.withColumn("_k", key).withColumn("series_id", F.col("_k.series_id")).withColumn("timestamp", F.col("_k.slice_t")).drop("_k")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEYS
+from ..model import KEYS, known
 
 
 def l2_norm(v: str = "v") -> Column:
@@ -61,8 +61,35 @@ def remove_offset(sig: DataFrame, how: str | None = "mean") -> DataFrame:
     """sig less its first value (start), mean or median; how None leaves it."""
     if how is None:
         return sig
-    level = {"start": F.min_by("v", "i"), "mean": F.avg("v"), "median": F.percentile("v", F.lit(0.5))}[how]
-    return sig.join(sig.groupBy(*KEYS).agg(level.alias("_level")), list(KEYS)).withColumn("v", F.col("v") - F.col("_level")).drop("_level")
+    return sig.join(known(offsets(sig, how)), list(KEYS)).withColumn("v", F.col("v") - F.col("_level")).drop("_level")
+
+
+def offsets(sig: DataFrame, how: str) -> DataFrame:
+    """(series_id, axis, _level): first value (start), mean or median by axis."""
+    if how == "median":
+        return medians(sig)
+    level = {"start": F.min_by("v", "i"), "mean": F.avg("v")}[how]
+    return sig.groupBy(*KEYS).agg(level.alias("_level"))
+
+
+def near_median() -> Column:
+    """Two values that the median lies between, an aggregate."""
+    return F.percentile_approx("v", [0.4997, 0.5003], 10000)
+
+
+def medians(sig: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(series_id, axis, _level): exact medians. A sketch (near, by axis, if known) tells between which values a median
+    lies; then the rows of each of the few values there are counted, and those below. No task holds the values of an axis."""
+    near = known(sig.groupBy(*KEYS).agg(near_median().alias("near"))) if near is None else near
+    near = near.select(*KEYS, F.col("near")[0].alias("_lo"), F.col("near")[1].alias("_hi"))
+    d = sig.join(near, list(KEYS)).filter("v IS NOT NULL")
+    at = F.when(F.col("v") < F.col("_lo"), F.col("_lo")).when(F.col("v") > F.col("_hi"), F.col("_hi")).otherwise(F.col("v"))
+    side = F.when(F.col("v") < F.col("_lo"), -1).when(F.col("v") > F.col("_hi"), 1).otherwise(0)
+    some = d.groupBy(*KEYS, side.alias("_side"), at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*KEYS)
+    some = some.withColumns({"_end": F.sum("_n").over(w.orderBy("_side", "_at")), "_all": F.sum("_n").over(w)})
+    place = lambda r: F.max(F.when((F.col("_end") - F.col("_n") <= r) & (r < F.col("_end")), F.col("_at")))
+    return some.groupBy(*KEYS).agg(((place(F.floor((F.col("_all") - 1) / 2)) + place(F.floor(F.col("_all") / 2))) / 2).alias("_level"))
 
 
 def rms_inside(sig: DataFrame, skip: float) -> DataFrame:

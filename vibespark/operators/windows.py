@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEYS, chunk_window, haloed, running_sum, spacing
+from ..model import KEYS, chunk_window, haloed, known, running_sum, spacing
 from .stats import remove_offset, resultant
 
 _OUT = ("series_id", "axis", "i", "t", "v")
@@ -169,7 +169,7 @@ def slice_centres(sig: DataFrame, num_slices: int | None = None, indexes: Sequen
 
     Without slice_width a slice is as wide as the series over the number of slices.
     """
-    sp = spacing(sig)
+    sp = known(spacing(sig))
     if values is not None:
         asked = sig.sparkSession.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "slice long, x double")
         times = sig.groupBy("series_id", "i").agg(F.first("t").alias("t"))
@@ -186,19 +186,21 @@ def slice_centres(sig: DataFrame, num_slices: int | None = None, indexes: Sequen
         c = sp.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("centre", F.floor(step * (F.col("slice") + 0.5)).cast("long"))
     width = F.lit(float(slice_width)) if slice_width else F.col("n") * F.col("dt") / count
     c = c.withColumn("num", F.greatest(F.floor(width / F.col("dt") / 2), F.lit(1)).cast("long"))
-    t = sig.groupBy("series_id", F.col("i").alias("centre")).agg(F.first("t").alias("slice_t"))
-    return c.join(t, ["series_id", "centre"]).select("series_id", F.col("slice").cast("long").alias("slice"), "centre", "num", "slice_t")
+    asked = known(c)
+    at = sig.join(asked.select("series_id", F.col("centre").alias("i")).distinct(), ["series_id", "i"], "left_semi")
+    t = at.groupBy("series_id", F.col("i").alias("centre")).agg(F.first("t").alias("slice_t"))
+    return asked.join(t, ["series_id", "centre"]).select("series_id", F.col("slice").cast("long").alias("slice"), "centre", "num", "slice_t")
 
 
-def sliced(sig: DataFrame, centres: DataFrame, block: int = 4096) -> DataFrame:
-    """Samples of each slice: rows [centre - num, centre + num), clipped to the series; adds slice and slice_t.
+def sliced(sig: DataFrame, centres: DataFrame, block: int = 4096, extra: Sequence[str] = ()) -> DataFrame:
+    """Samples of each slice: rows [centre - num, centre + num), clipped to the series; adds slice, slice_t and extra.
 
     A slice and a row meet in the blocks of rows they share, by equality, so no nested loop runs over them.
     """
     lo, hi = F.greatest(F.col("centre") - F.col("num"), F.lit(0)), F.col("centre") + F.col("num")
     c = centres.withColumns({"_lo": lo, "_hi": hi}).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor((F.col("_hi") - 1) / block))))
-    d = sig.withColumn("_b", F.floor(F.col("i") / block)).join(c, ["series_id", "_b"]).filter("i >= _lo AND i < _hi")
-    return d.select("series_id", "axis", "slice", "slice_t", "i", "t", "v")
+    d = sig.withColumn("_b", F.floor(F.col("i") / block)).join(known(c), ["series_id", "_b"]).filter("i >= _lo AND i < _hi")
+    return d.select("series_id", "axis", "slice", "slice_t", "i", "t", "v", *extra)
 
 
 def slice_metrics(sig: DataFrame, centres: DataFrame) -> DataFrame:
