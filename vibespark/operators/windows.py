@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import KEYS, chunk_window, haloed, known, running_sum, spacing
+from ..model import CHUNK, KEYS, axes_of, chunk_window, haloed, in_order, known, running_sum, spacing
+from .motion import integrated
 from .stats import remove_offset, resultant
 
 _OUT = ("series_id", "axis", "i", "t", "v")
@@ -235,3 +236,27 @@ def range_frame(df: DataFrame, key: str, ts: Column, value: str, width_us: int,
     """Aggregate of value over the time range (t - width, t], as a column."""
     w = Window.partitionBy(key).orderBy(F.unix_micros(ts.cast("timestamp"))).rangeBetween(-width_us + 1, 0)
     return how(value).over(w)
+def range_means(df: DataFrame, key: str, ts: Column, value: str, width_us: int, name: str = "mean") -> DataFrame:
+    """df with the mean of value over (t - width, t] of its key, as range_frame, in time that does not grow with the frame.
+
+    Time is cut into 64ths of the width, or as few equal parts as divide it. A frame is what its last part holds up to t,
+    the sums of whole parts, and what its first part holds after t - width; rows go to the two parts where they count.
+    """
+    parts = next(n for n in (64, 60, 48, 32, 24, 16, 12, 8, 5, 4, 3, 2, 1) if width_us % n == 0)
+    part = width_us // parts
+    d = df.withColumn("_t", F.unix_micros(ts.cast("timestamp"))).withColumn("_c", F.floor(F.col("_t") / part))
+    keys = [key, "_c"]
+    totals = d.filter("_c IS NOT NULL").groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    between = Window.partitionBy(key).orderBy("_c").rangeBetween(-(parts - 1), -1)
+    totals = totals.select(*keys, F.lit(2).alias("_kind"), F.sum("_s").over(between).alias("_ws"), F.sum("_n").over(between).alias("_wn"))
+    v = F.col(value).cast("double")
+    own = d.withColumns({"_kind": F.lit(0), "_own": v})
+    gone = d.filter("_t IS NOT NULL").select(key, (F.col("_c") + parts).alias("_c"), (F.col("_t") + width_us).alias("_t"), F.lit(1).alias("_kind"), v.alias("_old"))
+    every = own.unionByName(gone, allowMissingColumns=True).unionByName(totals, allowMissingColumns=True)
+    group = Window.partitionBy(*keys)
+    up = group.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = group.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    total = F.coalesce(F.sum("_own").over(up), zero) + F.coalesce(F.sum("_old").over(after), zero) + F.coalesce(F.max("_ws").over(group), zero)
+    n = F.count("_own").over(up) + F.count("_old").over(after) + F.coalesce(F.max("_wn").over(group), F.lit(0))
+    return every.withColumn(name, F.try_divide(total, n)).filter("_kind = 0").select(*df.columns, name)

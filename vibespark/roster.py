@@ -291,8 +291,8 @@ def trim_margins(spark, sf):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW), 6) AS v FROM events")
 def range_frame_6h(spark, sf):
-    e = _t(spark, sf, "events")
-    return e.select("event_id", R6(windows.range_frame(e, "event_type", F.col("ts"), "value", 6 * 3600 * 10**6)).alias("v"))
+    e = _t(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    return windows.range_means(e, "event_type", F.col("ts"), "value", 6 * 3600 * 10**6).select("event_id", R6("mean").alias("v"))
 
 
 @query(f"WITH {SIG} SELECT series_id, i, round(v / nullif(first_value(v) OVER (PARTITION BY series_id ORDER BY i), 0), 6) AS rel FROM sig")
