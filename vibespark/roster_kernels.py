@@ -242,9 +242,7 @@ def nmea_positions(spark, sf):
     vtg = F.concat(F.lit("$GPVTG,"), (n % 360).cast("string"), F.lit(".0,T,,M,0.0,N,"), (n % 200).cast("string"), F.lit(".0,K,A*00\r\n"))
     gga = F.concat(F.lit("$GPGGA,"), time, F.lit(","), *place, (1 + n % 2).cast("string"), F.lit(",08,1.0,0.0,M,0.0,M,,*00\r\n"))
     d = _t(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("series_id"), n, F.concat(rmc, vtg, gga).alias("x"))
-    d = d.groupBy("series_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))), lambda r: r["x"]), "").alias("x"))
-    d = d.withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("x") - 1) / 37).cast("int"))))
-    blocks = d.select("series_id", "seq", F.substring(F.col("x"), F.col("seq") * 37 + 1, F.lit(37)).cast("binary").alias("payload"))
+    blocks = logs.cut(d, "s_suppkey", 37).withColumn("payload", F.col("payload").cast("binary"))
     m = logs.measurements(logs.parse_sentences(logs.sentences(blocks)))
     return m.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "direction", R6("latitude").alias("latitude"), R6("longitude").alias("longitude"), "speed", "quality")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import numbered, running_sum
+
 END = b"\r\n"
 
 
@@ -19,6 +21,21 @@ def take_sentences(buffer: bytearray) -> tuple[list[str], bytearray]:
     return found, bytearray(rest)
 
 
+def cut(texts: DataFrame, order: str, size: int, key: str = "series_id", text: str = "x") -> DataFrame:
+    """(key, seq, payload): the texts of a recording in order, put end to end and cut into blocks of size characters.
+
+    A text is cut where the blocks end, by its place in the whole, so that the whole is never one value.
+    """
+    d = numbered(texts, key, [order], "i").withColumnsRenamed({key: "series_id"}).withColumns({"axis": F.lit("x"), "_len": F.length(text)})
+    d = running_sum(d, F.col("_len"), "_end").withColumn("_start", (F.col("_end") - F.col("_len")).cast("long")).filter("_len > 0")
+    d = d.withColumn("seq", F.explode(F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_start") + F.col("_len") - 1) / size))))
+    lo = F.greatest(F.col("seq") * size - F.col("_start"), F.lit(0))
+    piece = F.substring(F.col(text), (lo + 1).cast("int"), ((F.col("seq") + 1) * size - F.col("_start") - lo).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("_start", piece.alias("p"))))
+    g = d.groupBy(F.col("series_id").alias(key), "seq").agg(parts.alias("p"))
+    return g.select(key, "seq", F.array_join(F.transform("p", lambda x: x["p"]), "").alias("payload"))
+
+
 def sentences(payload: DataFrame, key: str = "series_id", seq: str = "seq", data: str = "payload") -> DataFrame:
     """(key, n, sentence): the payload blocks of a recording in order, cut at line ends, from ``$G`` on.
 
