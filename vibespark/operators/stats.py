@@ -47,7 +47,12 @@ def resultant(sig: DataFrame, name: str = "Resultant", how: str = "l2") -> DataF
 
 def rms_with_resultant(sig: DataFrame, scale: float = 1.0) -> DataFrame:
     """RMS per axis, and Resultant: the norm of the axes' RMS."""
-    per = sig.groupBy(*KEYS).agg((rms() * scale).alias("value"))
+    return norm_of_axes(sig.groupBy(*KEYS).agg((rms() * scale).alias("value")))
+
+
+def norm_of_axes(per: DataFrame) -> DataFrame:
+    """(series_id, axis, value) and Resultant: the norm of the axes' values."""
+    per = known(per)
     total = per.groupBy("series_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value")).withColumn("axis", F.lit("Resultant"))
     return per.unionByName(total.select("series_id", "axis", "value"))
 

@@ -47,9 +47,7 @@ def rolling_mean_removed(sig: DataFrame, duration: float | None = 5.0) -> DataFr
 
 def integrate(sig: DataFrame, zero: str | None = "start") -> DataFrame:
     """Cumulative trapezoid from 0 with the average spacing, less its mean or median unless zero is start."""
-    d = haloed(sig, 1).withColumn("_p", F.lag("v").over(chunk_window())).filter("core")
-    step = F.coalesce(F.col("dt") * (F.col("_p") + F.col("v")) / 2, F.lit(0.0))
-    d = running_sum(d.join(spacing(sig), "series_id"), step, "_a").withColumn("v", F.col("_a")).select(*_OUT)
+    d = integrated(sig).withColumn("v", F.col("first")).select(*_OUT)
     return d if zero in ("start", None) else remove_offset(d, zero)
 
 
@@ -61,6 +59,9 @@ def iter_integrals(sig: DataFrame, zero: str = "start", condition=None) -> Itera
 
 
 def integrals(sig: DataFrame, n: int = 1, zero: str = "start", condition=None) -> list[DataFrame]:
+    if n == 2 and zero in ("start", None) and condition is None:
+        both = integrated(sig)
+        return [sig, *[both.withColumn("v", F.col(c)).select(*_OUT) for c in ("first", "second")]]
     made = iter_integrals(sig, zero, condition)
     return [next(made) for _ in range(n + 1)]
 

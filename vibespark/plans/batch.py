@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.quaternion import angular_velocity
 from ..functions.units import G, to_db
-from ..model import KEYS
+from ..model import KEYS, known
 from ..operators.filters import filter_signal, taper
 from ..operators.joins import lookup
+from ..operators.motion import integrated
 from ..operators.shock import enveloping_half_sine, pulse_time_series, shock_spectrum
 from ..operators.spectral import add_spectrum_resultant, to_octave, vc_curves, welch
-from ..operators.stats import peak_with_resultant, pick, resultant, rms, rms_with_resultant
+from ..operators.stats import norm_of_axes, peak_with_resultant, pick, resultant, rms, rms_with_resultant
 from ..operators.windows import integrate, peak_windows, trimmed, trimmed_by_margin
 from ..sources.files import write_csv_folder
 
@@ -97,6 +98,21 @@ class Channels:
             d = d.join(first, "series_id").withColumn("i", F.col("i") - F.col("_i")).drop("_i")
         return filter_signal(d, "butterworth", p.highpass) if p.highpass else d
 
+    @cached_property
+    def motion_rms(self) -> DataFrame | None:
+        """(series_id, axis, velocity, displacement): RMS by axis of one pass, where nothing is done between integrations."""
+        p = self.params
+        if p.highpass or p.tukey_percent > 0 or p.zero not in ("start", None):
+            return None
+        d = integrated(self.acceleration)
+        return known(d.groupBy(*KEYS).agg(rms("first").alias("velocity"), rms("second").alias("displacement")))
+
+    def rms_of(self, name: str, scale: float) -> DataFrame:
+        """RMS of velocity or displacement, with the resultant."""
+        if self.motion_rms is None:
+            return rms_with_resultant(getattr(self, name), scale)
+        return norm_of_axes(self.motion_rms.select(*KEYS, (F.col(name) * scale).alias("value")))
+
     @cached_property
     def velocity(self) -> DataFrame:
         return integrate(self._condition(self.acceleration), self.params.zero)
@@ -175,8 +191,8 @@ def _last_fix(c: Channels) -> DataFrame:
 
 METRICS: dict[str, Callable[[Channels], DataFrame]] = {
     "RMS Acceleration": lambda c: rms_with_resultant(c.acceleration, 1 / G),
-    "RMS Velocity": lambda c: rms_with_resultant(c.velocity, 1e3),
-    "RMS Displacement": lambda c: rms_with_resultant(c.displacement, 1e3),
+    "RMS Velocity": lambda c: c.rms_of("velocity", 1e3),
+    "RMS Displacement": lambda c: c.rms_of("displacement", 1e3),
     "Peak Absolute Acceleration": lambda c: peak_with_resultant(c.acceleration, 1 / G),
     "Peak Pseudo Velocity Shock Spectrum": lambda c: c.pvss.unionByName(c.pvss_resultant).groupBy(*KEYS).agg((F.max("value") * 1e3).alias("value")),
     "GPS Position": _last_fix,
