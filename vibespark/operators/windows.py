@@ -32,11 +32,50 @@ def rolling_mean_removed(sig: DataFrame, duration: float | None = 5.0) -> DataFr
     if duration is None:
         return remove_offset(sig, "mean")
     # the odd count int(ceil(duration / dt // 2 * 2 + 1)), halved
-    rows = spacing(sig).select("series_id", F.floor(F.ceil(F.floor(F.lit(duration) / F.col("dt") / 2) * 2 + 1) / 2).cast("long").alias("half"))
+    half = F.floor(F.ceil(F.floor(F.lit(duration) / F.col("dt") / 2) * 2 + 1) / 2).cast("long")
+    axes = axes_of(sig).withColumn("half", half).filter("half IS NOT NULL")
+    wide = axes.filter(F.col("half") > CHUNK)
+    if wide.isEmpty():
+        return _near_mean_removed(sig, axes)
+    near = _near_mean_removed(sig, axes.filter(F.col("half") <= CHUNK))
+    return near.unionByName(_far_mean_removed(sig.join(wide.select(*KEYS), list(KEYS), "left_semi"), wide))
+
+
+def _near_mean_removed(sig: DataFrame, axes: DataFrame, size: int = CHUNK) -> DataFrame:
+    """sig less the mean of up to half rows on both sides, half at most a chunk: chunks with the rows around them."""
+    d = sig.join(axes, list(KEYS))
+    first, last = (F.floor(F.greatest(F.col("i") + k * F.col("half"), F.lit(0)) / size) for k in (-1, 1))
+    d = d.withColumn("_c", F.explode(F.sequence(first, last)))
+    d = d.select("_g", "_c", "i", "t", "v", F.when(F.floor(F.col("i") / size) == F.col("_c"), F.col("half")).alias("half"))
+
+    def run(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        v, half = table.column("v").to_numpy(), table.column("half").to_numpy(zero_copy_only=False)
+        keep, out = [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            own = np.flatnonzero(~np.isnan(half[a:b].astype(float)))
+            if not len(own):
+                continue
+            x = np.nan_to_num(v[a:b])
+            level, h = x.mean(), int(half[a + own[0]])
+            total = np.append(0.0, np.cumsum(x - level))
+            lo, hi = np.maximum(own - h, 0), np.minimum(own + h + 1, b - a)
+            keep.append(a + own)
+            out.append(v[a + own] - (level + (total[hi] - total[lo]) / (hi - lo)))
+        if not keep:
+            return None
+        return table.select(["_g", "i", "t"]).take(pa.array(np.concatenate(keep))).append_column("v", pa.array(np.concatenate(out), from_pandas=True))
+
+    return in_order(d, ["_g", "_c"], ["i"], run, "_g long, i long, t double, v double").join(axes.select(*KEYS, "_g"), "_g").select(*_OUT)
+
+
+def _far_mean_removed(sig: DataFrame, axes: DataFrame) -> DataFrame:
+    """The same for any half, by running sums met at both ends of the frame."""
     sums = running_sum(sig, F.coalesce("v", F.lit(0.0)), "_sum")
     at = sums.select(*KEYS, F.col("i").alias("_j"), F.col("_sum").alias("_s"))
-    top = sig.groupBy("series_id").agg(F.max("i").alias("_top"))
-    d = sums.join(rows, "series_id").join(top, "series_id")
+    d = sums.join(axes.select(*KEYS, "half", (F.col("n") - 1).alias("_top")), list(KEYS))
     d = d.withColumns({"_hi": F.least(F.col("i") + F.col("half"), F.col("_top")), "_lo": F.col("i") - F.col("half") - 1})
     hi = at.select(*KEYS, F.col("_j").alias("_hi"), F.col("_s").alias("_shi"))
     lo = at.select(*KEYS, F.col("_j").alias("_lo"), F.col("_s").alias("_slo"))
