@@ -147,10 +147,16 @@ def around_peak(sig: DataFrame, num: int = 1000, leading_ratio: float = 0.5) ->
 
 def peak_windows(sig: DataFrame, margin: int, add_resultant: bool = True) -> DataFrame:
     """Each axis aligned on its own peak, offsets -margin .. margin + 1: (series_id, axis, peak_t, offset, offset_s, v)."""
-    d = resultant(sig) if add_resultant else sig
-    p = peak_rows(d)
-    d = d.join(p, list(KEYS)).join(spacing(sig), "series_id").withColumn("offset", F.col("i") - F.col("peak_i"))
-    return d.filter(F.col("offset").between(-margin, margin + 1)).select(*KEYS, "peak_t", "offset", (F.col("offset") * F.col("dt")).alias("offset_s"), "v")
+    name = "Resultant"
+    best = F.max(F.struct(F.abs("v").alias("a"), (-F.col("i")).alias("no"), F.col("t").alias("t")))
+    p = axes_of(resultant(sig, name) if add_resultant else sig, b=best)
+    p = p.select("series_id", F.col("axis").alias("_axis"), (-F.col("b.no")).alias("_i"), F.col("b.t").alias("peak_t"), "dt")
+    whole = F.col("_axis") == name if add_resultant else F.lit(False)
+    # only rows of the windows go on; those of the resultant's window from every axis
+    d = sig.join(p, "series_id").filter((whole | F.col("axis").eqNullSafe(F.col("_axis"))) & (F.col("i") - F.col("_i")).between(-margin, margin + 1))
+    g = d.groupBy("series_id", "_axis", "i", "_i", "peak_t", "dt").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"), F.first("v").alias("_v"))
+    offset = F.col("i") - F.col("_i")
+    return g.select("series_id", F.col("_axis").alias("axis"), "peak_t", offset.alias("offset"), (offset * F.col("dt")).alias("offset_s"), F.when(whole, F.col("_norm")).otherwise(F.col("_v")).alias("v"))
 
 
 def local_maxima(sig: DataFrame, use_abs: bool = True) -> DataFrame:
