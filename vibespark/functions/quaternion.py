@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import CHUNK, numbered
+
 AXES = {"roll": "x", "pitch": "y", "yaw": "z", "x": "x", "y": "y", "z": "z"}
 
 
@@ -88,14 +90,18 @@ def quaternion_to_euler(df: DataFrame, mode: str = "x-y-z", x="X", y="Y", z="Z",
 
 def angular_velocity(df: DataFrame, q: str = "q", dt: float = 1.0, key: str = "series_id", order: str = "i") -> DataFrame:
     """df with wx, wy, wz: the vector part of 2 (dq/dt) / q; differences of second order, one-sided at the ends."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key, "_chunk").orderBy("_no")
 
     def rate(c: str) -> Column:
         f = F.col(q)[c]
         a1, a2, b1, b2 = F.lead(f).over(w), F.lead(f, 2).over(w), F.lag(f).over(w), F.lag(f, 2).over(w)
         return F.when(b1.isNull(), (-1.5 * f + 2 * a1 - 0.5 * a2) / dt).when(a1.isNull(), (1.5 * f - 2 * b1 + 0.5 * b2) / dt).otherwise((a1 - b1) / (2 * dt))
 
-    d = df.withColumn("_dq", quat(*[rate(c) for c in "wxyz"]))
+    # chunks with two rows before and after them; i numbers the rows already
+    n = df.withColumn("_no", F.col("i")) if order == "i" else numbered(df, key, [order], "_no")
+    first, last = (F.floor(F.greatest(F.col("_no") + k, F.lit(0)) / CHUNK) for k in (-2, 2))
+    n = n.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    d = n.withColumn("_dq", quat(*[rate(c) for c in "wxyz"])).filter(F.col("_chunk") == F.floor(F.col("_no") / CHUNK))
     o = div(F.col("_dq"), F.col(q))
     return d.select(*df.columns, (2 * o["x"]).alias("wx"), (2 * o["y"]).alias("wy"), (2 * o["z"]).alias("wz"))
 
