@@ -282,6 +282,8 @@ def range_frame(df: DataFrame, key: str, ts: Column, value: str, width_us: int,
     """Aggregate of value over the time range (t - width, t], as a column."""
     w = Window.partitionBy(key).orderBy(F.unix_micros(ts.cast("timestamp"))).rangeBetween(-width_us + 1, 0)
     return how(value).over(w)
+
+
 def range_means(df: DataFrame, key: str, ts: Column, value: str, width_us: int, name: str = "mean") -> DataFrame:
     """df with the mean of value over (t - width, t] of its key, as range_frame, in time that does not grow with the frame.
 
