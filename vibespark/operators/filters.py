@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import KEYS, spacing
+from ..model import KEYS, in_order, known, spacing
 from .spectral import tukey
 
 SIGNAL = "series_id string, axis string, i long, t double, v double"
@@ -200,12 +200,37 @@ def _steady(sos: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _sos_many(x: np.ndarray, sos: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Rows of x through the sections, each row settled at its level; a step for all rows at a time."""
+    for (b0, b1, b2, _, a1, a2), (s1, s2) in zip(sos, _steady(sos), strict=True):
+        y, z1, z2 = np.empty_like(x), s1 * level, s2 * level
+        for j in range(x.shape[0]):
+            v = x[j]
+            y[j] = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y[j] + z2, b2 * v - a2 * y[j]
+        x = y
+    return x
+
+
+def zero_phase_many(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
+    """zero_phase of each row of a matrix; for many short rows."""
+    pad = _padding(x.shape[1], sos)
+    x = np.ascontiguousarray(x.T)
+    e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    y = _sos_many(e, sos, e[0])
+    return _sos_many(y[::-1].copy(), sos, y[-1])[::-1][pad:-pad].T
+
+
+def _padding(n: int, sos: np.ndarray) -> int:
+    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
+    if n <= 3 * taps:
+        raise ValueError(f"the series is not longer than the padding of {3 * taps} samples")
+    return 3 * taps
+
+
 def zero_phase(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
     """Forward and backward through the sections, after an odd extension at both ends."""
-    taps = 2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
-    pad = 3 * taps
-    if len(x) <= pad:
-        raise ValueError(f"the series is not longer than the padding of {pad} samples")
+    pad = _padding(len(x), sos)
     e = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     zi = _steady(sos)
     y = _sos(e, sos, zi * e[0])
@@ -216,24 +241,35 @@ def zero_phase(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
 def filter_signal(sig: DataFrame, family: str = "butterworth", low_cutoff: float | None = 1.0, high_cutoff: float | None = None, half_order: int = 3, tukey_percent: float = 0.0, **options) -> DataFrame:
     """sig through a zero-phase filter (passed forward and backward) and a Tukey taper, axis by axis.
 
-    The recursion runs over the whole axis in order, so an axis of a series is one task's array.
+    The recursion runs over the whole axis in order, so an axis of a series is one task's array; short ones of a length
+    are filtered together.
     """
     kind, corners = band(low_cutoff, high_cutoff)
     if kind is None:
         return taper(sig, tukey_percent)
     prototype(family, half_order, **options)
 
-    def run(table):
+    def run(table, starts):
         import pyarrow as pa
 
-        table = table.take(pa.array(np.argsort(np.array(table.column("i")))))
-        x = np.nan_to_num(np.array(table.column("v"), float))
-        dt = table.column("dt")[0].as_py()
-        y = zero_phase(x, sections(family, half_order, kind, corners, 1 / dt, **options))
-        return table.select([*KEYS, "i", "t"]).append_column("v", pa.array(y * tukey(len(y), tukey_percent)))
-
-    d = sig.join(spacing(sig).select("series_id", "dt"), "series_id").select(*KEYS, "i", "t", "v", "dt")
-    return d.groupBy(*KEYS).applyInArrow(run, SIGNAL)
+        at = np.asarray(starts)
+        x, dt = np.nan_to_num(table.column("v").to_numpy()), table.column("dt").to_numpy()[at[:-1]]
+        size, y = np.diff(at), np.empty(len(x))
+        kinds, of = np.unique(np.stack([size, np.nan_to_num(dt)], axis=1), axis=0, return_inverse=True)
+        for k, (n, step) in enumerate(kinds):
+            mine, n = at[:-1][of.ravel() == k], int(n)
+            sos = sections(family, half_order, kind, corners, 1 / step, **options)
+            w = tukey(n, tukey_percent)
+            if len(mine) < 8:
+                for a in mine:
+                    y[a : a + n] = zero_phase(x[a : a + n], sos) * w
+            else:
+                rows = mine[:, None] + np.arange(n)
+                y[rows] = zero_phase_many(x[rows], sos) * w
+        return table.select([*KEYS, "i", "t"]).append_column("v", pa.array(y))
+
+    d = sig.join(known(spacing(sig).select("series_id", "dt")), "series_id").select(*KEYS, "i", "t", "v", "dt")
+    return in_order(d, KEYS, ["i"], run, SIGNAL)
 
 
 def butterworth(sig, low_cutoff=1.0, high_cutoff=None, half_order=3, tukey_percent=0.0) -> DataFrame:
