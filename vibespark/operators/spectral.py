@@ -98,22 +98,23 @@ def _spectra(x: np.ndarray, dt: float, window: str, detrend: str | None, scaling
 
 
 def _each_block(table, starts, window: str, detrend: str | None, scaling: str) -> Iterator[tuple]:
-    """(rows of first samples, nperseg, hop, power by block, segment and bin) for runs of blocks of one shape; dt as 1."""
+    """(rows of first samples, rows from segment to segment, hop, power by block, segment and bin) for runs of blocks of one shape; dt as 1."""
     v = table.column("v").to_numpy()
     at = np.asarray(starts)
     n, hop = (table.column(c).to_numpy()[at[:-1]] for c in ("nperseg", "hop"))
     kinds, of = np.unique(np.stack([np.diff(at), n, hop], axis=1), axis=0, return_inverse=True)
     for k, (length, m, h) in enumerate(kinds.tolist()):
         m = min(m, length)
+        gap = min(h, m)  # rows between segments are not in the block
         mine = at[:-1][of.ravel() == k]
         some = max((1 << 20) // length, 1)
         for lo in range(0, len(mine), some):
             part = mine[lo : lo + some]
             x = v[part[0] : part[0] + length][None] if len(part) == 1 else v[part[:, None] + np.arange(length)]
-            x = np.lib.stride_tricks.sliding_window_view(x, m, axis=1)[:, ::h]
+            x = np.lib.stride_tricks.sliding_window_view(x, m, axis=1)[:, ::gap]
             step = max((1 << 20) // (m * len(part)), 1)
             made = [_spectra(x[:, j : j + step].reshape(-1, m), 1.0, window, detrend, scaling).reshape(len(part), -1, m // 2 + 1) for j in range(0, x.shape[1], step)]
-            yield part, m, h, np.concatenate(made, axis=1)
+            yield part, gap, h, np.concatenate(made, axis=1)
 
 
 def _lists(values: np.ndarray, size: int):
@@ -131,8 +132,8 @@ def periodograms(sig: DataFrame, axes: DataFrame, window: str = "hann", detrend:
 
         out = []
         g, i, t = (table.column(c).to_numpy() for c in ("_g", "i", "t"))
-        for rows, _, hop, p in _each_block(table, starts, window, detrend, scaling):
-            at = (rows[:, None] + hop * np.arange(p.shape[1])).ravel()
+        for rows, gap, hop, p in _each_block(table, starts, window, detrend, scaling):
+            at = (rows[:, None] + gap * np.arange(p.shape[1])).ravel()
             out.append(pa.table([pa.array(g[at]), pa.array(i[at] // hop), pa.array(t[at]), _lists(p.ravel(), p.shape[2])], names=["_g", "seg", "t0", "p"]))
         return pa.concat_tables(out)
 
